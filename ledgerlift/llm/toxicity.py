@@ -28,6 +28,9 @@ from .tables import table
 SAMPLE = 2500
 LONGEST = 1 << 17
 DISCOUNT = 0.75
+#: Of a likelihood-ratio statistic (chi-squared with one degree of freedom): one in 10**6 by chance.
+EVIDENCE = 24.0
+EFFECT = 0.7
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 _WORD = Hasher(31)
@@ -96,41 +99,52 @@ def _join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _models(toxic: list[bytes], ordinary: list[bytes]) -> tuple[_Counts, _Counts]:
-    """Log ratios of all words and of the bigrams that a class has seen often enough to differ from its word."""
+    """Log ratios of all words and of the bigrams that a class has seen often enough to differ from its word.
+
+    Below the highest order Kneser-Ney counts contexts, not occurrences: a word or bigram counts once for each distinct word before
+    it. So a passage that copies repeat weighs no more than one of them.
+    """
     seen = []
     for texts in (toxic, ordinary):
         w, first = tokens(*_join(texts))
-        seen.append((w, bigrams(w, first), np.concatenate([[np.uint64(1)], w[:-1]]) if len(w) else w))
+        mark = np.uint64(1)
+        start = np.zeros(len(w), bool)
+        start[first[:-1][first[:-1] < len(w)]] = True
+        b1 = np.where(start, mark, np.concatenate([[mark], w[:-1]])) if len(w) else w
+        b2 = np.where(start, mark, np.concatenate([[mark], b1[:-1]])) if len(w) else w
+        pair = bigrams(w, first)
+        once = np.unique(mix(pair), return_index=True)[1]  # (word before, word)
+        thrice = np.unique(mix(pair * np.uint64(5) + mix(b2)), return_index=True)[1]  # (word before, bigram)
+        seen.append((w[once], pair[thrice], b1[thrice], w[thrice]))
     words, word_at = np.unique(np.concatenate([x[0] for x in seen]), return_inverse=True)
     pairs, at, pair_at = np.unique(np.concatenate([x[1] for x in seen]), return_index=True, return_inverse=True)
-    cut = len(seen[0][0])
-    pair_word = word_at[at]
-    # shared backoff: in how many distinct contexts, of both classes together, a word occurs
-    shared = np.bincount(pair_word, minlength=len(words)) + 0.5
+    pair_word = np.searchsorted(words, np.concatenate([x[3] for x in seen])[at])
+    # shared backoff: the contexts of both classes together
+    shared = np.bincount(word_at, minlength=len(words)) + 0.5
     shared = shared / (shared.sum() + 0.5)
     context = np.unique(np.concatenate([x[2] for x in seen]), return_inverse=True)[1]
     pair_context = context[at]
-    logs = []
-    for a, b in ((0, cut), (cut, len(word_at))):
-        c = np.bincount(word_at[a:b], minlength=len(words)).astype(float)
-        total = max(1.0, c.sum())
-        p1 = np.maximum(c - DISCOUNT, 0) / total
+    logs, cut, cut2 = [], len(seen[0][0]), len(seen[0][1])
+    for s1, s2 in ((slice(0, cut), slice(0, cut2)), (slice(cut, None), slice(cut2, None))):
+        c = np.bincount(word_at[s1], minlength=len(words)).astype(float)
+        p1 = np.maximum(c - DISCOUNT, 0) / max(1.0, c.sum())
         p1 = p1 + max(1 - p1.sum(), 1e-9) * shared
-        c2 = np.bincount(pair_at[a:b], minlength=len(pairs)).astype(float)
-        left = np.maximum(np.bincount(context[a:b], minlength=context.max() + 1 if len(context) else 1), 1)[pair_context]
+        c2 = np.bincount(pair_at[s2], minlength=len(pairs)).astype(float)
+        left = np.maximum(np.bincount(context[s2], minlength=context.max() + 1 if len(context) else 1), 1)[pair_context]
         kept = np.maximum(c2 - DISCOUNT, 0)
         mass = 1 - np.bincount(pair_context, kept, minlength=1)[pair_context] / left
         logs.append((np.log(p1), np.log(kept / left + np.maximum(mass, 1e-9) * p1[pair_word]), c, c2))
     (t1, t2, ct, ct2), (o1, o2, co, co2) = logs
-    word_ratio, pair_ratio = t1 - o1, t2 - o2
 
     def supported(ratio, x, y):
-        """A ratio counts as far as it is beyond what the counts' own chance explains (two standard deviations of a log ratio)."""
-        noise = 2 * np.sqrt(1 / (x + 0.5) + 1 / (y + 0.5))
-        return np.sign(ratio) * np.maximum(np.abs(ratio) - noise, 0)
-
-    word_ratio = supported(word_ratio, ct, co)
-    pair_ratio = supported(pair_ratio, ct2, co2)
+        """A ratio counts where the classes' context counts differ by more than chance: a likelihood-ratio statistic of at least ``EVIDENCE``, and at least e**EFFECT-fold: lesser ones are those of topics and languages."""
+        n, m = max(1.0, x.sum()), max(1.0, y.sum())
+        e = (x + y) * n / (n + m)
+        f = (x + y) - e
+        g = 2 * (x * np.log(np.maximum(x, 1) / np.maximum(e, 1e-12)) + y * np.log(np.maximum(y, 1) / np.maximum(f, 1e-12)))
+        return np.where((g >= EVIDENCE) & (np.abs(ratio) >= EFFECT), ratio, 0.0)
+
+    word_ratio, pair_ratio = supported(t1 - o1, ct, co), supported(t2 - o2, ct2, co2)
     keep = (np.abs(pair_ratio) > np.abs(word_ratio[pair_word]) + 0.5) & (ct2 + co2 > 3)
     used = word_ratio != 0
     return _Counts(words[used], word_ratio[used]), _Counts(pairs[keep], pair_ratio[keep])
