@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, language, packing, run_length_index, sharding, simhash, suffix_trees, toxicity
+from . import decontamination, fingerprints, language, lm_scoring, packing, run_length_index, sharding, simhash, suffix_trees, toxicity
 
 QUERIES = {
     "op1_spaced_seeds": decontamination.op1_spaced_seeds,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_multi_length_packing": packing.op6_multi_length_packing,
     "op7_suffix_trees": suffix_trees.op7_suffix_trees,
     "op8_piecewise_fingerprints": fingerprints.op8_piecewise_fingerprints,
+    "op9_attention_scoring": lm_scoring.op9_attention_scoring,
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
 }
 ORACLE_SQL = {"op10_extendible_sharding": sharding.ORACLE_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session, at least two for each input partition's worth of parallelism."""
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the checkpoint folder: smaller than a checkpoint, and later reads are pruned."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
