@@ -51,16 +51,22 @@ class Spec:
     same_document: bool
 
 
-def documents(table: pa.Table) -> list[tuple[int, bytes]]:
-    """(doc_id, text) of a group, one of each doc_id."""
-    out: dict[int, bytes] = {}
-    for batch in table.combine_chunks().to_batches():
+def places(table: pa.Table) -> list[tuple[int, bytes, int]]:
+    """(doc_id, text, row) of a group, one of each doc_id."""
+    out: dict[int, tuple[bytes, int]] = {}
+    at = 0
+    for batch in table.to_batches():
         data, offs = raw(batch.column(batch.schema.get_field_index("text")))
         for i, key in enumerate(batch.column(batch.schema.get_field_index("doc_id")).to_pylist()):
             text = data[offs[i] : offs[i + 1]].tobytes()
-            if key not in out or text < out[key]:
-                out[key] = text
-    return sorted(out.items())
+            if key not in out or text < out[key][0]:
+                out[key] = text, at + i
+        at += batch.num_rows
+    return [(k, *out[k]) for k in sorted(out)]
+
+
+def documents(table: pa.Table) -> list[tuple[int, bytes]]:
+    return [(key, text) for key, text, _ in places(table)]
 
 
 def runs(gram_hashes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,16 +234,20 @@ def covered(ranges: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _finish(spec: Spec, schema: pa.Schema, row: Callable):
+def _finish(spec: Spec, schema: pa.Schema, row: Callable, carry: list[str]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.int64).reshape(3, -1) for x in right.column("ranges").to_pylist()]
         ranges = np.concatenate([np.empty((3, 0), np.int64), *parts], axis=1)
         ranges = ranges[:, np.argsort(ranges[0], kind="stable")]
-        out = []
-        for key, text in documents(left) if left.num_rows else []:
+        out, at = [], []
+        for key, text, i in places(left):
             a, b = np.searchsorted(ranges[0], [key, key + 1])
             out.append(row(key, text, ranges[1:, a:b]))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
+            at.append(i)
+        found = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
+        for name in carry:
+            found = found.append_column(f"carried_{name}", left.column(f"carried_{name}").take(pa.array(at, pa.int64())))
+        return found
 
     return run
 
@@ -248,17 +258,21 @@ def groups_of(docs: DataFrame) -> int:
     return max(1, math.ceil(total / GROUP_BYTES))
 
 
-def apply(docs: DataFrame, spec: Spec, schema: str, arrow: pa.Schema, row: Callable) -> DataFrame:
-    """A row ``row(doc_id, text, ranges)`` for each document; ``ranges`` are [starts, ends] in units, overlapping and in any order."""
-    n = groups_of(docs)
-    texts = docs.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def apply(docs: DataFrame, spec: Spec, schema: str, arrow: pa.Schema, row: Callable, carry: list[str] | None = None) -> DataFrame:
+    """A row ``row(doc_id, text, ranges)`` for each document; ``ranges`` are [starts, ends] in units, overlapping and in any order.
+
+    ``carry`` names further columns of docs that the rows keep, as ``carried_<name>``.
+    """
+    n, carry = groups_of(docs), carry or []
+    texts = docs.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
     parts = max(1, min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     texts = texts.repartition(parts, "g")
     marks = texts.groupBy("g").applyInArrow(_mark(spec, n), "bucket long, g long, marks binary, twice binary")
     again = marks.groupBy("bucket").applyInArrow(_repeated, "g long, marks binary")
     pieces = texts.groupBy("g").cogroup(again.groupBy("g")).applyInArrow(_cut(spec, n), _PIECES)
     ranges = pieces.groupBy("bucket").applyInArrow(_seen(spec), "g long, ranges binary")
-    return texts.groupBy("g").cogroup(ranges.groupBy("g")).applyInArrow(_finish(spec, arrow, row), schema)
+    full = ", ".join([schema, *(f"carried_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)])
+    return texts.groupBy("g").cogroup(ranges.groupBy("g")).applyInArrow(_finish(spec, arrow, row, carry), full)
 
 
 #: Hashes of bytes, and of words as symbols.

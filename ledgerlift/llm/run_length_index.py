@@ -16,6 +16,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .repeats import BYTES, Pieces, Spec, apply, covered
 from .tables import table
@@ -199,5 +200,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return apply(docs, SPEC, KEPT_SCHEMA, _KEPT, _kept)
 
 
+_TEXT = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def _text(key: int, text: bytes, ranges: np.ndarray):
+    return key, np.frombuffer(text, np.uint8)[~covered(ranges, len(text))].tobytes().decode("utf-8", "ignore")
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with the repeats cut out of ``text`` and ``n_chars`` (if there) counted anew.
+
+    A character of which a cut leaves a part goes too. Rows with a null doc_id stay as they are.
+    """
+    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = apply(docs, SPEC, "doc_id long, text string", _TEXT, _text, carry)
+    back = {c: F.col(f"carried_{c}") for c in carry} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in carry:
+        back["n_chars"] = F.length("text")
+    kept = found.select(*(back[f.name].cast(f.dataType).alias(f.name) for f in docs.schema))
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply(table(spark, sf_dir, "documents"), SPEC, SCHEMA, _ARROW, _digest)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import rows, slices
+from .arrays import mix, rows, slices
 from .tables import cut, table
 
 SHINGLE = 3
@@ -45,21 +45,29 @@ _KEYS = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprint(text: bytes, k: int = SHINGLE) -> int:
+def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
+    """Hash of each k-word shingle of the lower-cased text, repeats included; of the whole sequence if it is shorter."""
     words = text.lower().split()  # of bytes: A-Z only, split at 09-0D and 20
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])
     n = max(1, len(words) - k + 1)
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    last = (ends[min(k, len(words)) - 1 :] - 1).tolist()
-    for a in range(0, n, _PART):
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[a : min(n, a + _PART)].tolist(), last[a : a + _PART], strict=True)], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), (ends[min(k, len(words)) - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(h), _PART):
+        ones += np.unpackbits(h[a : a + _PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes, k: int = SHINGLE) -> int:
+    return majority(shingles(text, k))
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -239,6 +247,84 @@ def groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+#: Of the near-duplicate search: words of a shingle, least Jaccard similarity of shingle sets, parts looked at in each
+#: of two partitions of the hash space, and shingles that a part has on average in the coarser one.
+NEAR_SHINGLE, NEAR, PARTS, PART_SHINGLES = 5, 0.8, 10, 4
+_NEAR = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def part_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of the first parts of a set of shingle hashes, in two partitions of the hash space by its size.
+
+    A key stands for a part's exact content. At similarity 0.8 a part of four shingles is unchanged with odds of about 0.4,
+    so that all of ten parts differ in one pair of 170; more similar pairs are missed far less often.
+    """
+    if not len(h):
+        return np.empty(0, np.int64)
+    mixed = mix(h)
+    level = max(1, int(np.log2(max(1, len(h) / PART_SHINGLES))))
+    out = []
+    for bits in (level, level + 1):
+        part = mixed >> np.uint64(64 - bits)
+        low = part < PARTS
+        total = np.zeros(PARTS, np.uint64)
+        np.add.at(total, part[low].astype(np.int64), mix(mixed[low]))
+        used = np.unique(part[low]).astype(np.int64)
+        out.append(mix(total[used] * np.uint64(64 * PARTS) + np.uint64(bits * PARTS) + used.astype(np.uint64)).view(np.int64))
+    return np.concatenate(out)
+
+
+def _near_prints(batches):
+    for s in slices(batches):
+        sets = [np.unique(shingles(s.text(i), NEAR_SHINGLE)) for i in range(len(s))]
+        yield rows(_NEAR, s.ids, np.array([majority(h) for h in sets], np.uint64).view(np.int64), [part_keys(h) for h in sets])
+
+
+def _similar(batches):
+    for batch in batches:
+        a, b, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+        for x, y, s, t in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            p, q = (np.unique(shingles(z.encode(), NEAR_SHINGLE)) for z in (s, t))
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            if both >= NEAR * (len(p) + len(q) - both):
+                out.append((x, y))
+        yield rows(_PAIRS, *(zip(*out, strict=True) if out else [[], []]))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of documents that are near copies of another: five-word shingle sets alike by 0.8 or more.
+
+    Two searches, one set of links. Fingerprints of the shingle sets at most three bits apart are found through the Golay keys,
+    exactly; they are alike by far more than 0.8. Pairs further apart share the exact content of a part of their sets:
+    each document is compared, by the Jaccard similarity of whole texts, with the least documents that share a part.
+    Documents with equal sets are one node, so copies are compared once, and a group of n rows gives at most n comparisons a part.
+    """
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    prints = cut(docs.mapInArrow(_near_prints, "doc_id long, fp long, keys array<long>").select("doc_id", "fp", "keys", F.xxhash64("fp", "keys").alias("node")))
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    fps = nodes.groupBy("fp").agg(F.min("first").alias("first"))
+    close = linked(fps)
+    same = nodes.join(fps.withColumnRenamed("first", "least"), "fp").where("first != least").select(F.col("first").alias("a"), F.col("least").alias("b"))
+    name = fps.select("fp", "first")
+    close = close.join(name.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(name.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    keyed = nodes.select("first", F.explode("keys").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("first").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
+    asked = keyed.join(least, "key").where("first != b").select(F.col("first").alias("a"), "b").distinct()
+    known = docs.dropDuplicates(["doc_id"])
+    texts = asked.join(known.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+    near = texts.mapInArrow(_similar, "a long, b long")
+    roots = components(close.unionByName(same).unionByName(near))
+    member = prints.join(nodes.select("node", "first"), "node").select("doc_id", "first")
+    return member.join(roots, member["first"] == roots["node"], "left").select("doc_id", F.coalesce("root", "first").alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns: of each near-duplicate group the one with the least doc_id. Rows with a null doc_id stay."""
+    gone = cut(near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
 def op5_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -63,3 +63,31 @@ def simhash_components(docs, bits=3, k=3):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {key: (f"{prints[key]:016x}", find(key)) for key in keys}
+
+
+def near_components(docs, k=5, least=0.8):
+    """doc_id -> component_id under Jaccard similarity of k-word shingle sets."""
+    sets = {}
+    for key, text in docs.items():
+        words = WORD.findall(bytes(c + 32 if 65 <= c <= 90 else c for c in text))
+        sets[key] = {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+    holders = {}
+    for key, s in sets.items():
+        for x in s:
+            holders.setdefault(x, set()).add(key)
+    root = {key: key for key in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    empty = [key for key, s in sets.items() if not s]
+    for a, s in sets.items():
+        near = set().union(*(holders[x] for x in s)) if s else set(empty)
+        for b in near:
+            both = len(s & sets[b])
+            if b < a and both >= least * (len(s) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {key: find(key) for key in docs}
