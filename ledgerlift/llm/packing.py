@@ -15,6 +15,7 @@ and stays null; an empty table gives no rows; further columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -33,35 +34,53 @@ END_ID = 2
 OPEN = 64
 #: Sequences of a step group.
 STEP = 64
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, tier int, step_group long"
 _ARROW = pa.schema([(n, pa.int32() if n == "tier" else pa.int64()) for n in re.findall(r"(\w+) (?:long|int)", SCHEMA)])
 
 
 class WordIds:
-    """Ids of whole texts through a bounded memo of words: the tokenizer drops white space, so words are independent."""
+    """Ids of whole texts through a bounded memo of words: the tokenizer drops white space, so words are independent.
 
-    def __init__(self, path: str, most: int = 1 << 18):
+    New words are encoded many at a time, joined by a mark that is one id and never part of a longer one.
+    """
+
+    MARK = "\x01"
+
+    def __init__(self, path: str, most: int = 1 << 19):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's own core only
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[bytes, np.ndarray] = {}
+        (self.mark,) = self._encode(self.MARK)
+        self.memo: dict[bytes, bytes] = {}
         self.most = most
 
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, new: list[bytes]) -> None:
+        mark = self.MARK.encode()
+        plain = [w for w in new if mark not in w]
+        for a in range(0, len(plain), 256):
+            part = plain[a : a + 256]
+            ids = np.array(self._encode(f" {self.MARK} ".join([w.decode("utf-8", "replace") for w in part])), np.uint32)
+            cuts = np.flatnonzero(ids == self.mark)
+            data = ids.tobytes()
+            self.memo.update(zip(part, [data[4 * i : 4 * j] for i, j in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)], strict=True))
+        for w in new:
+            if mark in w:
+                self.memo[w] = np.array(self._encode(w.decode("utf-8", "replace")), np.uint32).tobytes()
+
     def texts(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [_WORD.findall(t) for t in texts]
-        new = list({w for ws in split for w in ws}.difference(self.memo))
+        split = [t.split() for t in texts]  # of bytes: at 09-0D and 20
+        every = set().union(*split)
+        new = [w for w in every if w not in self.memo]
         if len(self.memo) + len(new) > self.most:
             self.memo.clear()
-            new = list({w for ws in split for w in ws})
-        # words of a batch are joined by spaces into few calls; a call for each word would cost more than the merges
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, np.uint32)
-        memo, none = self.memo, np.empty(0, np.uint32)
-        return [np.concatenate([memo[w] for w in ws]) if ws else none for ws in split]
+            new = list(every)
+        self._learn(new)
+        return [np.frombuffer(b"".join(map(self.memo.__getitem__, ws)), np.uint32) for ws in split]
 
 
 def pieces(doc_tokens: int) -> list[tuple[int, int]]:
