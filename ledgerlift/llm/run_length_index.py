@@ -34,21 +34,21 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 2:
         return np.arange(n)
-    bits = max(1, int(s.max()).bit_length())
-    span = max(1, 64 // bits)
+    symbol = s.astype(np.uint64) + np.uint64(1)  # 0 is the end, which sorts before every symbol
+    bits = int(symbol.max()).bit_length()
+    span = min(n, max(1, 64 // bits))
     key = np.zeros(n, np.uint64)
     for j in range(span):
         key <<= np.uint64(bits)
-        key[: n - j] |= s[j:].astype(np.uint64)
+        key[: n - j] |= symbol[j:]
     sa = np.argsort(key)
     edge = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
     first = np.flatnonzero(edge)
     size = np.diff(np.append(first, n))
     rank = np.empty(n + 1, np.int64)
     rank[sa] = np.repeat(first, size)
-    rank[n] = -1  # the end sorts before every symbol
+    rank[n] = -1
     tied = np.flatnonzero(np.repeat(size > 1, size))
-    # a shorter suffix ties with one that goes on in zeros; the doubling resolves it
     while len(tied):
         at = sa[tied]
         pair = rank[at] * (n + 1) + rank[np.minimum(at + span, n)] + 1
