@@ -5,7 +5,7 @@ and the position's embedding predict the next id through a two-level softmax (``
 frequency). Ids outside the ``SIDE**2 - 3`` most frequent ones of the training sample share one slot and are
 told apart uniformly, so probabilities of all ids sum to one.
 
-Texts are laid end to end, each after ``CONTEXT`` start marks, so that a window never sees another text. The stream is cut into
+Texts are laid end to end, each after ``CONTEXT + 1`` start marks, so that a window never sees another text. The stream is cut into
 windows of ``BLOCK`` positions, each with ``CONTEXT`` more before it: windows overlap, and every position is scored
 once, with all its context. Since one layer reads embeddings only, queries, keys and values of all ids are tables.
 """
@@ -40,13 +40,13 @@ class Attention:
     def stream(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Slots of all texts, each after its start marks; positions that predict; and the text of each."""
         lengths = np.array([len(t) for t in texts])
-        at = np.concatenate([[0], np.cumsum(lengths + CONTEXT)])
+        at = np.concatenate([[0], np.cumsum(lengths + CONTEXT + 1)])
         x = np.full(at[-1], START, np.int32)
         for a, t in zip(at[:-1].tolist(), texts, strict=True):
-            x[a + CONTEXT : a + CONTEXT + len(t)] = self.slot[t]
+            x[a + CONTEXT + 1 : a + CONTEXT + 1 + len(t)] = self.slot[t]
         text = np.repeat(np.arange(len(texts)), lengths + 1)
         first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        return x, np.arange(len(text)) - first[text] + at[text] + CONTEXT - 1, text
+        return x, np.arange(len(text)) - first[text] + at[text] + CONTEXT, text
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each id sequence and its end."""
