@@ -126,14 +126,14 @@ def neighbours(docs: DataFrame, buckets: int) -> DataFrame:
     bucket = F.lit(0)
     if bounds:
         # number of bounds above the row: buckets run in descending order of doc_id
-        bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > F.col("order")))
+        bucket = F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b > F.col("order")))
     keyed = keyed.withColumn("bucket", bucket)
     first = {r["bucket"]: r["top"] for r in keyed.groupBy("bucket").agg(F.max("order").alias("top")).collect()}  # one row a bucket
     if not first:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     used = sorted(first)
     before = {first[b]: used[i - 1] for i, b in enumerate(used)}  # of the first bucket: the last one
-    guest = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("order")]
+    guest = F.create_map(*[x for top, b in before.items() for x in (F.lit(top).cast("long"), F.lit(b))])[F.col("order")]
     sent = keyed.select("*", F.explode(F.when(guest.isNull(), F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guest")), F.struct(guest.alias("to"), F.lit(True).alias("guest"))))).alias("x"))
     sent = sent.select(F.col("x.to").alias("to"), F.col("x.guest").alias("guest"), "doc_id", "text", "order")
     dealt = sent.repartition(max(used) + 1, "to").sortWithinPartitions("to", "guest", F.desc("order"), "text")
