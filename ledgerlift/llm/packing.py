@@ -34,6 +34,8 @@ END_ID = 2
 OPEN = 64
 #: Sequences of a step group.
 STEP = 64
+#: Signs that end a word and are pieces of their own behind a letter or digit; the apostrophe is not, as it can join letters.
+_TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, tier int, step_group long"
 _ARROW = pa.schema([(n, pa.int32() if n == "tier" else pa.int64()) for n in re.findall(r"(\w+) (?:long|int)", SCHEMA)])
 
@@ -46,43 +48,74 @@ class WordIds:
 
     MARK = "\x01"
 
-    def __init__(self, path: str, most: int = 1 << 19):
+    def __init__(self, path: str, most: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's own core only
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         (self.mark,) = self._encode(self.MARK)
-        self.memo: dict[bytes, bytes] = {}
+        self.memo: dict[bytes, bytes] = {b"": b""}
         self.most = most
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, new: list[bytes]) -> None:
-        mark = self.MARK.encode()
-        plain = [w for w in new if mark not in w]
-        for a in range(0, len(plain), 256):
-            part = plain[a : a + 256]
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each of some words without the mark."""
+        out = []
+        for a in range(0, len(words), 512):
+            part = words[a : a + 512]
             ids = np.array(self._encode(f" {self.MARK} ".join([w.decode("utf-8", "replace") for w in part])), np.uint32)
             cuts = np.flatnonzero(ids == self.mark)
             data = ids.tobytes()
-            self.memo.update(zip(part, [data[4 * i : 4 * j] for i, j in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)], strict=True))
+            out += [data[i:j] for i, j in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)], strict=True)]
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        """The tokenizer folds case and ends a piece between a letter or digit and other signs: a word is its stem's and its tail's ids."""
+        mark, stems, whole = self.MARK.encode(), [], []
         for w in new:
+            low = w.lower()
+            stem = low.rstrip(_TAIL)
             if mark in w:
                 self.memo[w] = np.array(self._encode(w.decode("utf-8", "replace")), np.uint32).tobytes()
+            elif stem and len(stem) < len(low) and stem[-1:].isalnum():
+                stems.append((w, stem, low[len(stem) :]))
+            elif low == w:
+                whole.append(w)
+            else:
+                stems.append((w, low, b""))
+        parts = {x for _, stem, tail in stems for x in (stem, tail)}
+        parts.update(whole)
+        unknown = [x for x in parts if x not in self.memo]
+        memo = self.memo
+        memo.update(zip(unknown, self._ids(unknown), strict=True))
+        memo.update([(w, memo[stem] + memo[tail]) for w, stem, tail in stems])
 
     def texts(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]  # of bytes: at 09-0D and 20
+        return self.split([t.split() for t in texts])  # of bytes: at 09-0D and 20
+
+    def split(self, split: list[list[bytes]]) -> list[np.ndarray]:
         every = set().union(*split)
         new = [w for w in every if w not in self.memo]
-        if len(self.memo) + len(new) > self.most:
-            self.memo.clear()
+        if len(self.memo) > self.most:
+            self.memo = {b"": b""}
             new = list(every)
         self._learn(new)
         return [np.frombuffer(b"".join(map(self.memo.__getitem__, ws)), np.uint32) for ws in split]
 
 
+_SHARED: dict[str, WordIds] = {}
+
+
+def shared_ids(path: str) -> WordIds:
+    """The process's memo, which the tasks of one Python worker use in turn."""
+    if path not in _SHARED:
+        _SHARED[path] = WordIds(path)
+    return _SHARED[path]
+
+
 def pieces(doc_tokens: int) -> list[tuple[int, int]]:
     """(start, length): whole windows, then the rest."""
     cuts = [(a, WINDOW) for a in range(0, doc_tokens - WINDOW + 1, WINDOW)]
@@ -169,7 +202,7 @@ class Packer:
 def _pack(path: str):
     def run(batches):
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        words, packer, number = WordIds(path), Packer(), 0
+        words, packer, number = shared_ids(path), Packer(), 0
         live: dict[int, list] = {}  # key -> [doc_id, ids, ids still unplaced]
         groups: dict[int, int] = {}
         count = 0
