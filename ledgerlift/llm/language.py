@@ -28,7 +28,7 @@ from .tables import table
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
 #: Labelled rows that the classifier learns from, whole; rows of more than LONGEST bytes are not among them.
-SAMPLE = 2500
+SAMPLE = 2000
 LONGEST = 1 << 20
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 EPOCHS, BATCH = 3, 32
@@ -97,14 +97,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def train(examples: list[tuple[bytes, str]]) -> Model:
     """Fit on (text, language) pairs; deterministic in the order given."""
     languages = sorted({lang for _, lang in examples})
-    xs = [(symbols(t), languages.index(lang)) for t, lang in examples]
-    xs = [(grams(s), y) for s, y in xs if len(s) > 1]
+    # counts at once, text by text: a text's n-grams are many times its bytes
+    xs = [(np.unique(grams(s), return_counts=True), languages.index(lang)) for t, lang in examples if len(s := symbols(t)) > 1]
     if not xs:
         return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0), 1.0)
-    counts = [np.unique(g, return_counts=True) for g, _ in xs]
-    df = np.bincount(np.concatenate([f for f, _ in counts]), minlength=FEATURES)
+    df = np.zeros(FEATURES, np.int64)
+    for (f, _), _ in xs:
+        df[f] += 1
     idf = np.log((1 + len(xs)) / (1 + df)) + 1
-    data = [(f, 20 * c / c.sum() * idf[f], y) for (f, c), (_, y) in zip(counts, xs, strict=True)]
+    data = [(f, 20 * c / c.sum() * idf[f], y) for (f, c), y in xs]
     fit, rest = [d for i, d in enumerate(data) if i % 5], [d for i, d in enumerate(data) if not i % 5]
     k = len(languages)
     z, n, zb, nb = np.zeros((FEATURES, k)), np.zeros((FEATURES, k)), np.zeros(k), np.zeros(k)

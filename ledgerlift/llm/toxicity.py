@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import Hasher, lower, mix, rows, slices
+from .arrays import SLICE_BYTES, Hasher, lower, mix, rows, slices
 from .tables import table
 
 #: Labelled rows of each class that are learned from, whole; rows of more than LONGEST bytes are not among them.
-SAMPLE = 2500
+SAMPLE = 1500
 LONGEST = 1 << 17
 DISCOUNT = 0.75
 #: Of a likelihood-ratio statistic (chi-squared with one degree of freedom): one in 10**6 by chance.
@@ -94,10 +94,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.ratios(data, offs) + self.bias, -700, 700)))
 
 
+def _chunks(texts: list[bytes], limit: int = SLICE_BYTES // 8):
+    """Runs of texts of about ``limit`` bytes, as one buffer and offsets each: hashing needs many times a text's bytes."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > limit:
+            yield _join(part)
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield _join(part)
+
+
 def _join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
+def _contexts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: itself, its bigram, and the words one and two before it (a mark before a text)."""
+    w, first = tokens(data, offs)
+    mark = np.uint64(1)
+    start = np.zeros(len(w), bool)
+    start[first[:-1][first[:-1] < len(w)]] = True
+    b1 = np.where(start, mark, np.concatenate([[mark], w[:-1]])) if len(w) else w
+    b2 = np.where(start, mark, np.concatenate([[mark], b1[:-1]])) if len(w) else w
+    return w, bigrams(w, first), b1, b2
+
+
 def _models(toxic: list[bytes], ordinary: list[bytes]) -> tuple[_Counts, _Counts]:
     """Log ratios of all words and of the bigrams that a class has seen often enough to differ from its word.
 
@@ -106,34 +130,36 @@ def _models(toxic: list[bytes], ordinary: list[bytes]) -> tuple[_Counts, _Counts
     """
     seen = []
     for texts in (toxic, ordinary):
-        w, first = tokens(*_join(texts))
-        mark = np.uint64(1)
-        start = np.zeros(len(w), bool)
-        start[first[:-1][first[:-1] < len(w)]] = True
-        b1 = np.where(start, mark, np.concatenate([[mark], w[:-1]])) if len(w) else w
-        b2 = np.where(start, mark, np.concatenate([[mark], b1[:-1]])) if len(w) else w
-        pair = bigrams(w, first)
-        once = np.unique(mix(pair), return_index=True)[1]  # (word before, word)
-        thrice = np.unique(mix(pair * np.uint64(5) + mix(b2)), return_index=True)[1]  # (word before, bigram)
+        parts = [_contexts(*chunk) for chunk in _chunks(texts)] or [(np.empty(0, np.uint64),) * 4]
+        w, pair, b1, b2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        once = np.unique(pair, return_index=True)[1]  # (word before, word)
+        thrice = np.unique(pair * np.uint64(5) + mix(b2), return_index=True)[1]  # (word before, bigram)
         seen.append((w[once], pair[thrice], b1[thrice], w[thrice]))
+    del w, pair, b1, b2, once, thrice
     words, word_at = np.unique(np.concatenate([x[0] for x in seen]), return_inverse=True)
     pairs, at, pair_at = np.unique(np.concatenate([x[1] for x in seen]), return_index=True, return_inverse=True)
-    pair_word = np.searchsorted(words, np.concatenate([x[3] for x in seen])[at])
+    # bigrams of few contexts keep their word's ratio; they only count in their context's sums
+    often = np.flatnonzero(np.bincount(pair_at, minlength=len(pairs)) > 3)
+    pair_word = np.searchsorted(words, np.concatenate([x[3] for x in seen])[at[often]])
     # shared backoff: the contexts of both classes together
     shared = np.bincount(word_at, minlength=len(words)) + 0.5
     shared = shared / (shared.sum() + 0.5)
-    context = np.unique(np.concatenate([x[2] for x in seen]), return_inverse=True)[1]
-    pair_context = context[at]
+    context = np.unique(np.concatenate([x[2] for x in seen]), return_inverse=True)[1].astype(np.int32)
+    pair_context, pair_at = context[at], pair_at.astype(np.int32)
+    contexts = int(context.max()) + 1 if len(context) else 1
     logs, cut, cut2 = [], len(seen[0][0]), len(seen[0][1])
     for s1, s2 in ((slice(0, cut), slice(0, cut2)), (slice(cut, None), slice(cut2, None))):
         c = np.bincount(word_at[s1], minlength=len(words)).astype(float)
         p1 = np.maximum(c - DISCOUNT, 0) / max(1.0, c.sum())
         p1 = p1 + max(1 - p1.sum(), 1e-9) * shared
-        c2 = np.bincount(pair_at[s2], minlength=len(pairs)).astype(float)
-        left = np.maximum(np.bincount(context[s2], minlength=context.max() + 1 if len(context) else 1), 1)[pair_context]
+        c2 = np.bincount(pair_at[s2], minlength=len(pairs))
         kept = np.maximum(c2 - DISCOUNT, 0)
-        mass = 1 - np.bincount(pair_context, kept, minlength=1)[pair_context] / left
-        logs.append((np.log(p1), np.log(kept / left + np.maximum(mass, 1e-9) * p1[pair_word]), c, c2))
+        left = np.maximum(np.bincount(context[s2], minlength=contexts), 1)
+        mass = np.maximum(1 - np.bincount(pair_context, kept, minlength=contexts) / left, 1e-9)
+        own = pair_context[often]
+        logs.append((np.log(p1), np.log(kept[often] / left[own] + mass[own] * p1[pair_word]), c, c2[often].astype(float)))
+        del c2, kept
     (t1, t2, ct, ct2), (o1, o2, co, co2) = logs
 
     def supported(ratio, x, y):
@@ -145,9 +171,9 @@ def _models(toxic: list[bytes], ordinary: list[bytes]) -> tuple[_Counts, _Counts
         return np.where((g >= EVIDENCE) & (np.abs(ratio) >= EFFECT), ratio, 0.0)
 
     word_ratio, pair_ratio = supported(t1 - o1, ct, co), supported(t2 - o2, ct2, co2)
-    keep = (np.abs(pair_ratio) > np.abs(word_ratio[pair_word]) + 0.5) & (ct2 + co2 > 3)
+    keep = np.abs(pair_ratio) > np.abs(word_ratio[pair_word]) + 0.5
     used = word_ratio != 0
-    return _Counts(words[used], word_ratio[used]), _Counts(pairs[keep], pair_ratio[keep])
+    return _Counts(words[used], word_ratio[used]), _Counts(pairs[often[keep]], pair_ratio[keep])
 
 
 def train(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model | None:
@@ -161,7 +187,8 @@ def train(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model | No
     weight = np.where(y == 1, share / len(tr), (1 - share) / len(orr)) * len(y)
     best = None
     for power in (1.0, 0.75, 0.5, 0.25):
-        x = Model(words, pairs, 1, 0, power).ratios(*_join([*tr, *orr]))
+        m = Model(words, pairs, 1, 0, power)
+        x = np.concatenate([m.ratios(*chunk) for chunk in _chunks([*tr, *orr])])
         spread = max(x.std(), 1e-9)
         u, theta = np.stack([x / spread, np.ones(len(x))], 1), np.zeros(2)
         for _ in range(50):  # Newton, with a weak ridge
