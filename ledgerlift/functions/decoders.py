@@ -32,6 +32,11 @@ class Reading:
             raise ValueError(f"no such reading: {self}")
 
 
+def let(x: Column, use) -> Column:
+    """``use(x)`` with x computed once, however often it is used: Columns are trees, which would repeat it."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def raw(item: Item, rec: Column | None = None, at: int = 0) -> Column:
     """Bytes of all occurrences, or of the record slice ``at`` bytes on. Short records give short slices."""
     return F.substring(F.col("rec") if rec is None else rec, item.offset + at + 1, item.total())
@@ -69,16 +74,16 @@ def punched(char: Column) -> tuple[Column, Column]:
 def scaled(digits: Column, scale: int, negative: Column | None = None) -> Column:
     """Exact decimal of a digit string (blank is zero) with the point put ``scale`` digits from its end."""
     d = F.coalesce(F.nullif(digits, F.lit("")), F.lit("0"))
-    d = F.lpad(d, F.greatest(F.length(d), F.lit(scale + 1)), F.lit("0"))
-    number = F.concat(F.substr(d, F.lit(1), F.length(d) - scale), F.lit("."), F.right(d, F.lit(scale))) if scale else d
+    if scale:
+        # zeros in front make room for the point; the cast drops them again
+        d = F.regexp_replace(F.concat(F.lit("0" * (scale + 1)), d), f"([0-9]{{{scale}}})$", ".$1")
     if negative is not None:
-        number = F.concat(F.when(negative, "-").otherwise(""), number)
-    return number.try_cast(f"decimal(38,{scale})")
+        d = F.concat(F.when(negative, "-").otherwise(""), d)
+    return d.try_cast(f"decimal(38,{scale})")
 
 
-def display_parts(raw: Column, pic: Picture, page: str, leading: bool = False, separate: bool = False) -> tuple[Column, Column]:
-    """(digits, sign as 1 or -1) of a zoned field, sign as the bytes carry it."""
-    t = strip(codepages.text(raw, page))
+def display_parts(raw: Column, t: Column, pic: Picture, page: str, leading: bool = False, separate: bool = False) -> tuple[Column, Column]:
+    """(digits, sign as 1 or -1) of a zoned field of stripped text ``t``, sign as the bytes carry it."""
     n = F.length(t)
     head, tail, first, end = F.substr(t, F.lit(1), n - 1), F.substr(t, F.lit(2)), F.left(t, F.lit(1)), F.right(t, F.lit(1))
     if pic.signed and separate:
@@ -95,14 +100,19 @@ def display_parts(raw: Column, pic: Picture, page: str, leading: bool = False, s
     return F.regexp_replace(body, "[^0-9]", ""), F.coalesce(sign, F.lit(1))
 
 
-def display(raw: Column, pic: Picture, page: str = "cp037", leading: bool = False, separate: bool = False) -> Column:
-    digits, sign = display_parts(raw, pic, page, leading, separate)
-    return scaled(digits, pic.scale, sign < 0 if pic.signed else None)
+def display(raw: Column, pic: Picture, page: str = "cp037", leading: bool = False, separate: bool = False, text: Column | None = None) -> Column:
+    """``text`` is the field's text where the caller has it."""
+
+    def parts(t: Column) -> Column:
+        digits, sign = display_parts(raw, t, pic, page, leading, separate)
+        return scaled(digits, pic.scale, sign < 0 if pic.signed else None)
+
+    return let(strip(codepages.text(raw, page) if text is None else text), parts)
 
 
-def display_digits_only(raw: Column, page: str = "cp037") -> Column:
+def display_digits_only(raw: Column, page: str = "cp037", text: Column | None = None) -> Column:
     """What a reader makes of the field that knows neither sign nor scale."""
-    return scaled(F.regexp_replace(codepages.text(raw, page), "[^0-9]", ""), 0)
+    return scaled(F.regexp_replace(codepages.text(raw, page) if text is None else text, "[^0-9]", ""), 0)
 
 
 def packed(raw: Column, scale: int = 0) -> Column:
@@ -187,7 +197,7 @@ def value(item: Item, reading: Reading, slice_: Column | None = None) -> Column:
         return packed(b, pic.scale)
     if item.usage.binary:
         whole = binary(b, pic.signed, item.size(), reading.order)
-        return whole if not pic.scale else scaled(F.abs(whole).cast("string"), pic.scale, whole < 0)
+        return whole if not pic.scale else let(whole, lambda v: scaled(F.abs(v).cast("string"), pic.scale, v < 0))
     return display(b, pic, reading.page, item.leading, item.separate)
 
 

@@ -7,7 +7,7 @@ DataFrame (``values``), of which only the most frequent few come back.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,37 +107,35 @@ def sign_columns(b: Column, text: Column, page: str) -> tuple[Column, Column, Co
     return sign, low, unknown
 
 
-def _display(item: Item, b: Column, text: Column, reading: Reading) -> dict[str, Column]:
+def zoned_parts(item: Item, b: Column, text: Column, reading: Reading) -> dict[str, Column]:
+    """What the aggregates of a zoned field read: sign, unknown, and its values as read, unsigned digits, and with any sign honoured."""
     pic = item.picture
     sign, low, unknown = sign_columns(b, text, reading.page)
-    head = F.substr(text, F.lit(1), F.length(text) - 1)
-    digits = F.regexp_replace(F.when(sign.isNotNull(), F.concat(head, low)).otherwise(text), "[^0-9]", "")
-    v = decoders.display(b, pic, reading.page, item.leading, item.separate)
+    v = decoders.display(b, pic, reading.page, item.leading, item.separate, text)
+    digits = F.when(sign.isNotNull(), F.concat(F.substr(text, F.lit(1), F.length(text) - 1), low)).otherwise(text)
+    found = {"sign": sign, "unknown": unknown, "v": v, "naive": decoders.display_digits_only(b, reading.page, text), "digits": F.regexp_replace(digits, "[^0-9]", "")}
+    if not pic.signed:
+        found["forced"] = decoders.display(b, replace(pic, signed=True), reading.page, text=text)
+    return found
+
+
+def _display(b: Column, text: Column, c: dict[str, Column]) -> dict[str, Column]:
+    sign, v = c["sign"], c["v"]
     found = {
         "nondigit_last": F.count_if(sign.isNotNull()), "negative": F.count_if(sign < 0), "positive": F.count_if(sign > 0),
-        "ascii_signed": F.count_if(decoders.zone(b).isNull() & F.right(text, F.lit(1)).isin("+", "-")), "unknown_sign": F.count_if(unknown),
-        "all_zero": F.count_if(digits.rlike("^0+$")), "widest": F.max(F.length(F.regexp_replace(digits, "^0+", ""))),
-        "total": F.sum(v), "total_abs": F.sum(F.abs(v)), "total_naive": F.sum(F.when(v.isNotNull(), decoders.display_digits_only(b, reading.page))),
+        "ascii_signed": F.count_if(decoders.zone(b).isNull() & F.right(text, F.lit(1)).isin("+", "-")), "unknown_sign": F.count_if(c["unknown"]),
+        "all_zero": F.count_if(c["digits"].rlike("^0+$")), "widest": F.max(F.length(F.ltrim(c["digits"], F.lit("0")))),
+        "total": F.sum(v), "total_abs": F.sum(F.abs(v)), "total_naive": F.sum(F.when(v.isNotNull(), c["naive"])),
     }
-    if not pic.signed:
-        t = decoders.strip(text)
-        stripped_sign, digit = decoders.punched(F.right(t, F.lit(1)))
-        z = decoders.zone(b)
-        if codepages.is_ascii(reading.page):
-            z = F.coalesce(z, F.when(decoders.ascii_zone(b) < 0, -1))
-        forced = F.coalesce(z, stripped_sign)
-        low = F.when(z.isNotNull(), decoders.last_byte(b).bitwiseAND(15).cast("string")).otherwise(digit)
-        body = F.when(forced.isNotNull(), F.concat(F.substr(t, F.lit(1), F.length(t) - 1), low)).otherwise(t)
-        found["total_forced"] = F.sum(decoders.scaled(F.regexp_replace(body, "[^0-9]", ""), pic.scale, forced < 0))
-    return found
+    return found | ({"total_forced": F.sum(c["forced"])} if "forced" in c else {})
 
 
-def aggregates(item: Item, reading: Reading, b: Column) -> dict[str, Column]:
-    """Aggregate Columns of one field, by FieldStats name."""
+def aggregates(item: Item, reading: Reading, b: Column, text: Column | None = None, parts: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Aggregate Columns of one field, by FieldStats name. ``text`` and ``parts`` stand for its text and zoned_parts where lower projections have them."""
     found = {"examined": F.count(F.lit(1))}
     if item.usage.floating:
         return found | _float(item, b, reading)
-    text = codepages.text(b, reading.page)
+    text = codepages.text(b, reading.page) if text is None else text
     found["undecodable"] = F.count_if(F.contains(text, F.lit("�")))
     if not item.numeric or item.usage is Usage.DISPLAY:
         found |= {"blank": F.count_if(text.rlike(f"^{BLANK}*$")), "unset": F.count_if(decoders.unset(text))}
@@ -146,7 +144,7 @@ def aggregates(item: Item, reading: Reading, b: Column) -> dict[str, Column]:
     if item.usage is Usage.COMP3:
         good = decoders.packed_strict(b)
         return found | {"invalid_packed": F.count_if(~good), "total": F.sum(F.when(good, decoders.packed(b, item.picture.scale)))}
-    return found | (_binary(item, b, reading) if item.usage.binary else _display(item, b, text, reading))
+    return found | (_binary(item, b, reading) if item.usage.binary else _display(b, text, zoned_parts(item, b, text, reading) if parts is None else parts))
 
 
 def covered(item: Item, value: Column) -> Column:
@@ -187,8 +185,13 @@ def scan(records: DataFrame, layout: Layout, reading: Reading = Reading()) -> di
     items, stats = layout.fields(), {}
     for a in range(0, len(items), CHUNK):
         part = items[a : a + CHUNK]
+        # texts and zoned parts are computed once, in projections of their own: several aggregates read them
         slices = records.select(*(raw(i).alias(f"b{k}") for k, i in enumerate(part)))
-        wanted = {(k, n): c.alias(f"{n}{k}") for k, i in enumerate(part) for n, c in aggregates(i, reading, F.col(f"b{k}")).items()}
+        slices = slices.select("*", *(codepages.text(F.col(f"b{k}"), reading.page).alias(f"t{k}") for k, i in enumerate(part) if not i.usage.floating))
+        parts = {k: zoned_parts(i, F.col(f"b{k}"), F.col(f"t{k}"), reading) for k, i in enumerate(part) if i.numeric and i.usage is Usage.DISPLAY}
+        slices = slices.select("*", *(c.alias(f"{n}{k}") for k, p in parts.items() for n, c in p.items()))
+        here = {k: {n: F.col(f"{n}{k}") for n in p} for k, p in parts.items()}
+        wanted = {(k, n): c.alias(f"{n}{k}") for k, i in enumerate(part) for n, c in aggregates(i, reading, F.col(f"b{k}"), None if i.usage.floating else F.col(f"t{k}"), here.get(k)).items()}
         row = slices.agg(*wanted.values()).first()
         for k, item in enumerate(part):
             got = {n: row[f"{n}{k}"] for (j, n) in wanted if j == k}
