@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 
-CONTEXT, BLOCK, SIDE, WIDTH = 16, 16, 40, 32
+CONTEXT, BLOCK, SIDE, WIDTH = 8, 8, 40, 32
 SLOTS = SIDE * SIDE
 START, RARE, END = SLOTS - 1, SLOTS - 2, SLOTS - 3
 #: Positions that scoring works on at once.
-STREAM = 1 << 15
+STREAM = 1 << 13
 _DISTANCE = np.arange(BLOCK)[:, None] + CONTEXT - np.arange(BLOCK + CONTEXT)[None, :]
 _SEEN = (_DISTANCE >= 0) & (_DISTANCE <= CONTEXT)
 
@@ -66,12 +66,11 @@ class Attention:
         lo = max(0, a - CONTEXT)
         s[CONTEXT - (a - lo) : CONTEXT + b - a] = x[lo:b]
         own = s[CONTEXT:]
-        windows = np.lib.stride_tricks.as_strided(s, (n, BLOCK + CONTEXT), (BLOCK * s.itemsize, s.itemsize))
-        w = tq[own].reshape(n, BLOCK, WIDTH) @ tk[windows].transpose(0, 2, 1)
+        w = tq[own].reshape(n, BLOCK, WIDTH) @ _windows(tk[s], n).transpose(0, 2, 1)
         np.clip(w, -30, 30, out=w)
         np.exp(w, out=w)
         w *= self.bias
-        h = (w @ tv[windows]).reshape(-1, WIDTH + 1)[: b - a]
+        h = (w @ _windows(tv[s], n)).reshape(-1, WIDTH + 1)[: b - a]
         h /= h[:, -1:]
         h[:, -1] = 0
         h += self.emb[own[: b - a]]
@@ -96,6 +95,12 @@ class Attention:
         return out - np.log(total)
 
 
+def _windows(rows: np.ndarray, n: int) -> np.ndarray:
+    """Overlapping windows of consecutive rows, as a view."""
+    step, item = rows.strides
+    return np.lib.stride_tricks.as_strided(rows, (n, BLOCK + CONTEXT, rows.shape[1]), (BLOCK * step, step, item))
+
+
 def _grow(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Rows of x summed by their index."""
     out = np.zeros((n, x.shape[1]), np.float32)

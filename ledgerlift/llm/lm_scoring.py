@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention
-from .arrays import lower, rows, slices
-from .packing import WordIds, tokenizer_path
+from .arrays import binary, lower, raw, rows, slices
+from .packing import WordIds, shared_ids, tokenizer_path
 from .tables import table, written
 
 HEAD = 1 << 17
@@ -36,6 +36,8 @@ _COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 _TAIL = pa.schema([("word", pa.binary()), ("docs", pa.binary()), ("n", pa.binary())])
 _PARTS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("known", pa.int64()), ("logs", pa.float64())])
 _MAIN = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
+_BOTH = pa.schema([*_TAIL, *_MAIN])
+_BOTH_SCHEMA = "word binary, docs binary, n binary, doc_id long, h long, held_out boolean, n_tokens long, known long, logs double, score double"
 
 
 def _words(s) -> list[list[bytes]]:
@@ -64,30 +66,30 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _tail(head):
-    """(word, docs, n): words outside the head with the documents of this task that hold them."""
+class _Tail:
+    """Words outside the head, numbered as they come, and the documents that hold them."""
 
-    def run(batches):
-        skip = head.value
-        seen: dict[bytes, tuple[list, list]] = {}
-
-        def out():
-            return rows(_TAIL, list(seen), [np.array(d, np.int64).tobytes() for d, _ in seen.values()], [np.array(n, np.int32).tobytes() for _, n in seen.values()])
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.keys, self.words, self.docs = [], [], []
 
-        for s in slices(batches):
-            for key, h, words in zip(s.ids.to_pylist(), s.batch.column(2).to_pylist(), _words(s), strict=True):
-                for w, n in Counter([w for w in words if w not in skip]).items():
-                    got = seen.get(w)
-                    if got is None:
-                        got = seen[w] = ([], [])
-                    got[0].extend((key, h))
-                    got[1].append(n)
-            if len(seen) > MEMO:
-                yield out()
-                seen = {}
-        yield out()
+    def add(self, key: int, h: int, words: list[bytes]) -> None:
+        n = self.number
+        found = np.array([n.setdefault(w, len(n)) for w in words], np.int64)
+        if len(found):
+            self.words.append(found)
+            self.docs.append(np.full(len(found), len(self.keys)))
+            self.keys.append((key, h))
 
-    return run
+    def take(self) -> tuple[list, pa.Array, pa.Array]:
+        """(words, their documents' ids and hashes, their counts there); starts anew."""
+        words = list(self.number)
+        m = max(1, len(self.keys))
+        pair, count = np.unique(np.concatenate([np.empty(0, np.int64), *(w * m + d for w, d in zip(self.words, self.docs, strict=True))]), return_counts=True)
+        edges = np.searchsorted(pair, np.arange(len(words) + 1) * m)
+        keys = np.array(self.keys, np.int64).reshape(-1, 2)[pair % m]
+        self.__init__()
+        return words, binary(keys.view(np.uint8).ravel(), 16 * edges), binary(count.astype(np.int32).view(np.uint8), 4 * edges)
 
 
 def _parts(total: int, distinct: int):
@@ -97,10 +99,10 @@ def _parts(total: int, distinct: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            docs = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column(0).to_pylist()]
-            n = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32)
-            c = np.repeat(np.array(batch.column(2).fill_null(0).to_numpy(zero_copy_only=False), np.float64), [len(d) for d in docs])
-            pairs = np.concatenate(docs)
+            (docs, at), (n, counts) = (raw(batch.column(i)) for i in (0, 1))
+            pairs = docs[at[0] : at[-1]].copy().view(np.int64).reshape(-1, 2)
+            n = n[counts[0] : counts[-1]].copy().view(np.int32)
+            c = np.repeat(batch.column(2).fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), np.diff(at) // 16)
             order = np.lexsort((pairs[:, 1], pairs[:, 0]))
             pairs, n, c = pairs[order], n[order], c[order]
             edge = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)]))
@@ -113,17 +115,32 @@ def base_log(c, total: int, distinct: int):
     return np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
 
 
-def _main(head, model, path: str, total: int, distinct: int, ends: int):
+def _scan(head, model, path: str, total: int, distinct: int, ends: int):
+    """One pass: a row for each document, with what its head words give, and rows for the words of the tail."""
+
     def run(batches):
-        known = head.value
-        logs = {w: float(base_log(c, total, distinct)) for w, c in known.items()}
+        logs = {w: float(base_log(c, total, distinct)) for w, c in head.value.items()}
         end = float(base_log(ends, total, distinct))
-        m, ids = attention.Attention(*model.value), WordIds(path)
+        m, ids, tail = attention.Attention(*model.value), shared_ids(path, MEMO), _Tail()
+
+        def tails():
+            words, docs, n = tail.take()
+            return rows(_BOTH, words, docs, n, *(pa.nulls(len(words), f.type) for f in _MAIN))
+
         for s in slices(batches):
             texts = _words(s)
             scores = m.score(ids.split(texts)) / np.log(10)
-            found = [[logs[w] for w in words if w in logs] for words in texts]
-            yield rows(_MAIN, s.ids, s.batch.column(2), s.batch.column(3), [len(w) + 1 for w in texts], [len(x) + (ends > 0) for x in found], [sum(x) + end for x in found], scores)
+            known, sums = [], []
+            for key, h, words in zip(s.ids.to_pylist(), s.batch.column(2).to_pylist(), texts, strict=True):
+                got = [logs[w] for w in words if w in logs]
+                known.append(len(got) + (ends > 0))
+                sums.append(sum(got) + end)
+                if len(got) < len(words):
+                    tail.add(key, h, [w for w in words if w not in logs])
+            yield rows(_BOTH, *(pa.nulls(len(s), f.type) for f in _TAIL), s.ids, s.batch.column(2), s.batch.column(3), [len(w) + 1 for w in texts], known, sums, scores)
+            if len(tail.number) > MEMO:
+                yield tails()
+        yield tails()
 
     return run
 
@@ -145,8 +162,8 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     words = WordIds(path)
     model = attention.train(words.texts(texts), words.tokenizer.get_vocab_size())
     sent, shared = spark.sparkContext.broadcast(head), spark.sparkContext.broadcast((model.slot, model.within, model.p))
-    main = docs.mapInArrow(_main(sent, shared, path, total, distinct, ends), "doc_id long, h long, held_out boolean, n_tokens long, known long, logs double, score double")
-    tail = docs.select("doc_id", "text", "h").mapInArrow(_tail(sent), "word binary, docs binary, n binary")
+    both = written(docs.mapInArrow(_scan(sent, shared, path, total, distinct, ends), _BOTH_SCHEMA))
+    main, tail = both.where("word is null"), both.where("word is not null")
     joined = tail.join(table_.withColumnRenamed("n", "c"), "word", "left").select("docs", "n", "c")
     parts = joined.mapInArrow(_parts(total, distinct), "doc_id long, h long, known long, logs double")
     one = lambda name: F.col(name).alias(name)

@@ -97,22 +97,21 @@ class WordIds:
         return self.split([t.split() for t in texts])  # of bytes: at 09-0D and 20
 
     def split(self, split: list[list[bytes]]) -> list[np.ndarray]:
-        every = set().union(*split)
-        new = [w for w in every if w not in self.memo]
         if len(self.memo) > self.most:
             self.memo = {b"": b""}
-            new = list(every)
-        self._learn(new)
+        memo = self.memo
+        self._learn(list({w for ws in split for w in ws if w not in memo}))
         return [np.frombuffer(b"".join(map(self.memo.__getitem__, ws)), np.uint32) for ws in split]
 
 
 _SHARED: dict[str, WordIds] = {}
 
 
-def shared_ids(path: str) -> WordIds:
+def shared_ids(path: str, most: int = 1 << 20) -> WordIds:
     """The process's memo, which the tasks of one Python worker use in turn."""
     if path not in _SHARED:
         _SHARED[path] = WordIds(path)
+    _SHARED[path].most = most
     return _SHARED[path]
 
 
