@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import mix, rows, slices
-from .tables import cut, table
+from .arrays import mix, raw, rows, slices
+from .tables import cut, table, written
 
 SHINGLE = 3
 BITS = 3
@@ -250,7 +250,12 @@ def groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 #: Of the near-duplicate search: words of a shingle, least Jaccard similarity of shingle sets, parts looked at in each
 #: of two partitions of the hash space, and shingles that a part has on average in the coarser one.
 NEAR_SHINGLE, NEAR, PARTS, PART_SHINGLES = 5, 0.8, 10, 4
-_NEAR = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+#: Buckets in which shingles are counted, to put rare ones first.
+BUCKETS = 1 << 20
+#: Holders of a key that are compared in one place; those of a hotter key are compared as pairs of blocks of about this many.
+HOT = 2048
+_NEAR = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("counts", pa.binary())])
+_PREFIX = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("size", pa.int32()), ("low", pa.int32()), ("keys", pa.list_(pa.int64()))])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -275,48 +280,166 @@ def part_keys(h: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _set(text: bytes) -> np.ndarray:
+    return np.unique(shingles(text, NEAR_SHINGLE))
+
+
 def _near_prints(batches):
+    """A row for each document, and one for the task with the bucket counts of its sets' shingles."""
+    counts = np.zeros(BUCKETS, np.int32)
     for s in slices(batches):
-        sets = [np.unique(shingles(s.text(i), NEAR_SHINGLE)) for i in range(len(s))]
-        yield rows(_NEAR, s.ids, np.array([majority(h) for h in sets], np.uint64).view(np.int64), [part_keys(h) for h in sets])
+        sets = [_set(s.text(i)) for i in range(len(s))]
+        for h in sets:
+            np.add.at(counts, (h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        yield rows(_NEAR, s.ids, s.batch.column(2), np.array([majority(h) for h in sets], np.uint64).view(np.int64), [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [part_keys(h) for h in sets], pa.nulls(len(s), pa.binary()))
+    yield rows(_NEAR, *([None] for _ in range(5)), [counts.tobytes()])
+
+
+def prefix(h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the corpus' order, rare buckets first: sets alike by ``NEAR`` share one of them.
+
+    Of sets of n and m shingles at least NEAR * max(n, m) are common, so that the common one that comes first in the order
+    has at least NEAR * n - 1 of the set after it.
+    """
+    need = -int(-(NEAR * len(h) - 1e-9) // 1)  # rounded up
+    first = np.lexsort((h, order[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]))[: len(h) - need + 1]
+    return h[first]
+
+
+def _emit_prefixes(order):
+    least = int(np.log2(HOT + 1))  # of the buckets that can hold a hot key
+
+    def run(batches):
+        rank = order.value
+        for s in slices(batches):
+            sets = [_set(s.text(i)) for i in range(len(s))]
+            first = [prefix(h, rank) for h in sets]
+            low = [int((rank[(f & np.uint64(BUCKETS - 1)).astype(np.int64)] < least).sum()) for f in first]
+            yield rows(_PREFIX, s.ids, s.batch.column(2), [len(h) for h in sets], low, [f.view(np.int64) for f in first])
+
+    return run
+
+
+def candidates(key: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, block: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Node pairs of each key group (rows sorted by key and size) that sizes and places let be alike by ``NEAR``.
+
+    ``at`` is the key's place in the set's order: at most min(at) shingles before it and as many as the smaller rest after it
+    are common. Nodes of one root are linked already. Rows of a hot key carry a pair of blocks in the key, and ``block`` is
+    their own one, or -1 where all pairs of the group are compared.
+    """
+    out, i, d = [np.empty((0, 2), np.int64)], np.arange(len(key)), 1
+    while len(i):
+        i = i[i + d < len(key)]
+        i = i[key[i] == key[i + d]]
+        i = i[size[i + d] * NEAR <= size[i] + 1e-9]  # sizes only grow with d
+        j = i + d
+        most = np.minimum(at[i], at[j]) + np.minimum(size[i] - at[i], size[j] - at[j])
+        ok = (root[i] != root[j]) & (most * (1 + NEAR) + 1e-9 >= NEAR * (size[i].astype(np.int64) + size[j])) & ((block[i] < 0) | (block[i] != block[j]))
+        if ok.any():
+            x, y = node[i[ok]], node[j[ok]]
+            out.append(np.stack([np.maximum(x, y), np.minimum(x, y)], 1))
+        d += 1
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _emit_candidates(batches):
+    """Rows sorted by key and size; a key's rows can cross batches."""
+    held: list[list[np.ndarray]] = []
+
+    def out(parts):
+        pairs = candidates(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return rows(_PAIRS, pairs[:, 0], pairs[:, 1])
+
+    for batch in batches:
+        columns = [batch.column(i).to_numpy() for i in range(6)]
+        key = columns[0]
+        if not len(key):
+            continue
+        end = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0  # the last key may go on
+        if end or held and held[0][0][0] != key[0]:
+            yield out([*held, [c[:end] for c in columns]])
+            held = []
+        held.append([c[end:] for c in columns])
+    if held:
+        yield out(held)
 
 
 def _similar(batches):
     for batch in batches:
-        a, b, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-        for x, y, s, t in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            p, q = (np.unique(shingles(z.encode(), NEAR_SHINGLE)) for z in (s, t))
+        (s, i), (t, j) = (raw(batch.column(c)) for c in (2, 3))
+        alike, last, p = np.zeros(batch.num_rows, bool), None, None
+        a = batch.column(0).to_numpy()
+        for r in range(batch.num_rows):
+            if a[r] != last:
+                last, p = a[r], _set(s[i[r] : i[r + 1]].tobytes())
+            q = _set(t[j[r] : j[r + 1]].tobytes())
             both = len(np.intersect1d(p, q, assume_unique=True))
-            if both >= NEAR * (len(p) + len(q) - both):
-                out.append((x, y))
-        yield rows(_PAIRS, *(zip(*out, strict=True) if out else [[], []]))
+            alike[r] = both >= NEAR * (len(p) + len(q) - both)
+        yield rows(_PAIRS, *(batch.column(c).filter(pa.array(alike)) for c in (0, 1)))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The node pairs (a, b) whose shingle sets are alike by ``NEAR``, by the whole texts."""
+    pairs = written(pairs)
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "h"), "node"))
+    # a small table of wanted rows is broadcast, so that only their texts move
+    texts = wanted.join(docs, ["doc_id", "h"]).groupBy("node").agg(F.first("text").alias("text"))
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
+    return both.select("a", "b", "s", "t").mapInArrow(_similar, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of documents that are near copies of another: five-word shingle sets alike by 0.8 or more.
 
-    Two searches, one set of links. Fingerprints of the shingle sets at most three bits apart are found through the Golay keys,
-    exactly; they are alike by far more than 0.8. Pairs further apart share the exact content of a part of their sets:
-    each document is compared, by the Jaccard similarity of whole texts, with the least documents that share a part.
-    Documents with equal sets are one node, so copies are compared once, and a group of n rows gives at most n comparisons a part.
+    Documents with equal sets are one node. A first search is linear in the rows and links most copies: fingerprints at most
+    three bits apart through the Golay keys, and the least holder of each part's exact content. The second is exact: an
+    inverted index of prefixes (``prefix``) gives all pairs that can be alike by 0.8 and that the first hasn't linked.
+    Every link of either is verified by the Jaccard similarity of the whole texts' sets.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    prints = cut(docs.mapInArrow(_near_prints, "doc_id long, fp long, keys array<long>").select("doc_id", "fp", "keys", F.xxhash64("fp", "keys").alias("node")))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    fps = nodes.groupBy("fp").agg(F.min("first").alias("first"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    found = cut(docs.mapInArrow(_near_prints, "doc_id long, h long, fp long, node binary, keys array<long>, counts binary"))
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in found.where("counts is not null").select("counts").toLocalIterator():
+        counts += np.frombuffer(r["counts"], np.int32)
+    # finer than a factor of two is not needed, and a byte each is sent
+    order = docs.sparkSession.sparkContext.broadcast(np.log2(counts + 1).astype(np.uint8))
+    prints = found.where("counts is null").drop("counts")
+    nodes = prints.groupBy(F.col("node").alias("set")).agg(F.min(F.struct("doc_id", "h")).alias("m"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    # a number of its own for each set, and for the set the row that stands for it
+    nodes = written(nodes.select("set", F.monotonically_increasing_id().alias("node"), "m.doc_id", "m.h", "fp", "keys"))
+
+    fps = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     close = linked(fps)
-    same = nodes.join(fps.withColumnRenamed("first", "least"), "fp").where("first != least").select(F.col("first").alias("a"), F.col("least").alias("b"))
-    name = fps.select("fp", "first")
-    close = close.join(name.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(name.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    keyed = nodes.select("first", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("first").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-    asked = keyed.join(least, "key").where("first != b").select(F.col("first").alias("a"), "b").distinct()
-    known = docs.dropDuplicates(["doc_id"])
-    texts = asked.join(known.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
-    near = texts.mapInArrow(_similar, "a long, b long")
-    roots = components(close.unionByName(same).unionByName(near))
-    member = prints.join(nodes.select("node", "first"), "node").select("doc_id", "first")
-    return member.join(roots, member["first"] == roots["node"], "left").select("doc_id", F.coalesce("root", "first").alias("component_id"))
+    same = nodes.join(fps.withColumnRenamed("first", "least"), "fp").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    close = close.join(fps.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
+    asked = keyed.join(least, "key").where("node != b").select(F.col("node").alias("a"), "b")
+    first = cut(_verified(close.unionByName(same).unionByName(asked).distinct(), nodes, docs))
+
+    roots = components(first).select("node", "root")
+    placed = cut(nodes.select("node", "doc_id", "h").join(roots, "node", "left").select("node", "doc_id", "h", F.coalesce("root", "node").alias("root")))
+    listed = docs.mapInArrow(_emit_prefixes(order), "doc_id long, h long, size int, low int, keys array<long>").dropDuplicates(["doc_id", "h"])
+    listed = listed.join(placed, ["doc_id", "h"])
+    # a key has at most as many holders as its bucket: only the last ones of a list can be hot
+    hot = listed.select(F.explode(F.slice("keys", F.col("low") + 1, F.size("keys"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = written(hot.where(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("blocks")))
+    index = listed.select("node", "root", "size", F.posexplode("keys").alias("at", "key"))
+    index = index.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    index = index.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    index = index.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(pair).alias("key"), "size", "at", "root", F.when(F.col("own") == F.col("other"), F.lit(-1)).when(F.col("blocks") == 1, F.lit(-1)).otherwise(F.col("own")).cast("int").alias("block"), "node")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = index.repartition(n, "key").sortWithinPartitions("key", "size")
+    pairs = index.mapInArrow(_emit_candidates, "a long, b long").distinct()
+    near = cut(first.unionByName(_verified(pairs, nodes, docs)))
+
+    roots = components(near)
+    placed = nodes.join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("root"), "doc_id")
+    named = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return prints.select("doc_id", F.col("node").alias("set")).join(placed.select("set", "root"), "set").join(named, "root").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

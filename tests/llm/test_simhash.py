@@ -95,6 +95,43 @@ def test_near_duplicates(documents, spark, sf_dir):
     assert {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()} == brute.near_components(plain)
 
 
+def variants(rng, n, edits, count, tag):
+    base = [f"{tag}{rng.randint(0, 10**6)}" for _ in range(n)]
+    out = []
+    for i in range(count):
+        words = list(base)
+        for at in rng.sample(range(n), edits):
+            words[at] = f"{tag}new{i}x{at}"
+        out.append(" ".join(words))
+    return " ".join(base), out
+
+
+def test_near_duplicates_around_a_base_that_is_not_the_least(documents, monkeypatch):
+    """Copies edited on their own are alike to their base by 0.8 and less to each other: only its links join them."""
+    rng, pairs = random.Random(11), []
+    for g, (count, place) in enumerate([(40, 20), (19, 19), (4, 2), (4, 4)]):
+        base, others = variants(rng, 200, 3, count, f"g{g}v")
+        pairs += [(1000 * g + i, t) for i, t in enumerate([*others[:place], base, *others[place:]])]
+    plain = {i: t.encode() for i, t in pairs}
+    want = brute.near_components(plain)
+    assert set(want.values()) == {0, 1000, 2000, 3000}
+    for hot in (S.HOT, 8):
+        monkeypatch.setattr(S, "HOT", hot)
+        assert {r["doc_id"]: r["component_id"] for r in S.near_duplicates(documents(pairs)).collect()} == want
+
+
+def test_sets_alike_share_a_prefix():
+    rng = np.random.default_rng(9)
+    order = rng.integers(0, 20, S.BUCKETS).astype(np.uint8)
+    for n in (1, 4, 5, 9, 40, 200):
+        for both in range(n + 1):
+            h = np.unique(rng.integers(0, 1 << 63, 2 * n).astype(np.uint64))
+            a, b = h[:n], np.concatenate([h[:both], h[n:]])
+            if both >= S.NEAR * (len(a) + len(b) - both) or both >= S.NEAR * n:
+                b = np.sort(b[: max(both, 1)])
+                assert np.intersect1d(S.prefix(np.sort(a), order), S.prefix(b, order)).size
+
+
 def test_empty_table(documents):
     docs = documents([(1, "x")]).where("doc_id < 0")
     assert S.groups(docs).collect() == [] and S.keep_one(docs).collect() == []
