@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import mix, raw, rows, slices
-from .tables import table
+from .tables import table, written
 from .toxicity import tokens
 
 MASKS = ("1101100101011", "1110010110101", "11111")
@@ -110,7 +110,7 @@ class Items:
         best: dict = {}
         for i, shift in sorted(self.hits(w)):
             got = passage(w, self.tokens[i], shift)
-            if got and (self.ids[i] not in best or (got[2], -got[0]) > (best[self.ids[i]][2], -best[self.ids[i]][0])):
+            if got and (self.ids[i] not in best or (got[2], -got[0], got[1]) > (best[self.ids[i]][2], -best[self.ids[i]][0], best[self.ids[i]][1])):
                 best[self.ids[i]] = got
         return best
 
@@ -122,8 +122,19 @@ def _scan(items: Items, batches):
         yield rows(_ARROW, *(zip(*out, strict=True) if out else [[]] * 5))
 
 
-def _seed_rows(kind: str):
-    """Seeds of each text, for the shuffled way: (seed, id, at); of items those seeds that ``Items`` would hold."""
+def _lengths(batches):
+    """Token counts under five of items."""
+    for s in slices(batches, ids="id"):
+        first = tokens(s.data, s.offs)[1]
+        n = np.unique(np.diff(first))
+        yield rows(pa.schema([("n", pa.int64())]), n[(n > 0) & (n < 5)])
+
+
+def _seed_rows(kind: str, lengths: list[int]):
+    """Seeds of each text, for the shuffled way: (seed, id, at); of items those seeds that ``Items`` would hold.
+
+    Items of ``lengths`` tokens, each under five, have one seed of all their tokens, and documents those of all runs as long.
+    """
     schema = pa.schema([("seed", pa.int64()), ("id", pa.int64()), ("at", pa.int64())])
 
     def run(batches):
@@ -136,6 +147,9 @@ def _seed_rows(kind: str):
                     if kind == "doc" or long_enough(mask, len(t)):
                         h = seeds(t, mask, m)
                         out.append((h.view(np.int64), np.full(len(h), key), np.arange(len(h))))
+                for n in lengths if kind == "doc" else {len(t)} & {*lengths}:
+                    h = seeds(t, "1" * n, len(MASKS) + n)
+                    out.append((h.view(np.int64), np.full(len(h), key), np.arange(len(h))))
             yield rows(schema, *(np.concatenate(x) for x in zip(*out, strict=True))) if out else rows(schema, [], [], [])
 
     return run, "seed long, id long, at long"
@@ -168,14 +182,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, table_bytes: int = TABLE_BYT
         found = docs.mapInArrow(run, SCHEMA)
         # repeated rows of one doc_id are rare and few: the pairs alone are shuffled
         return _longest(found)
-    items = items.where("item_id is not null")
+    # a number of its own for each item, as ids can be null or repeated
+    items = written(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"))
+    lengths = sorted(r["n"] for r in items.select(F.col("item").alias("id"), "text").mapInArrow(_lengths, "n long").distinct().collect())
     seeded = {}
-    for kind, frame, key in (("doc", docs, "doc_id"), ("item", items, "item_id")):
-        run, schema = _seed_rows(kind)
+    for kind, frame, key in (("doc", docs, "doc_id"), ("item", items, "item")):
+        run, schema = _seed_rows(kind, lengths)
         seeded[kind] = frame.select(F.col(key).alias("id"), "text").mapInArrow(run, schema)
     d, i = seeded["doc"].alias("d"), seeded["item"].alias("i")
-    hits = d.join(i, "seed").select(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), (F.col("d.at") - F.col("i.at")).alias("shift")).distinct()
-    both = hits.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").select("doc_id", "item_id", F.coalesce("text", F.lit("")).alias("text"), "item", "shift")
+    hits = d.join(i, "seed").select(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item"), (F.col("d.at") - F.col("i.at")).alias("shift")).distinct()
+    both = hits.join(docs, "doc_id").join(items.withColumnRenamed("text", "words"), "item").select("doc_id", "item_id", F.coalesce("text", F.lit("")).alias("text"), "words", "shift")
     return _longest(both.mapInArrow(_verify, SCHEMA))
 
 

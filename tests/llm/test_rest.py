@@ -49,6 +49,15 @@ def test_verbatim_and_substituted_passages_are_found(spark, documents):
     assert shuffled == {(d, i) for d, i in leaks if len(items[i]) >= 5}
 
 
+def test_both_ways_of_decontamination_give_equal_rows(spark, documents):
+    rng = random.Random(3)
+    say = lambda n: [f"t{rng.randint(0, 5000)}" for _ in range(n)]
+    items = [(i if i % 3 else None, " ".join(say(n)), 1, 1) for i, n in enumerate((1, 2, 3, 4, 4, 5, 6, 9, 13, 15, 20, 3))]
+    docs = documents([(i, " ".join([*say(30), r[1], *say(30), r[1]])) for i, r in enumerate(items)] + [(3, " ".join(say(20))), (77, items[0][1]), (78, None), (79, "")])
+    small, large = (sorted(map(str, decontamination.overlaps(docs, benchmark(spark, items), **most).collect())) for most in ({}, {"table_bytes": 0}))
+    assert small == large and len(small) >= len(items)
+
+
 def test_decontamination_finds_every_whole_item(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir).collect()}
     want = {(k, r["item_id"]) for r in table(spark, sf_dir, "benchmark").collect() for k, t in docs.items() if r["text"] in t}
