@@ -9,8 +9,7 @@ Benchmark tokens up to ``TABLE_BYTES`` of text are sent to all tasks as a sorted
 only mapped over. A larger benchmark is joined with the documents' seeds in a shuffle, and the hits with both texts;
 both ways verify with the same function.
 
-Edge cases: items shorter than the widest mask are found by the narrow seeds of ``SHORT`` tokens and must match in
-whole; null and empty texts on either side have no passages; an item whose id is null is used and reported as null;
+Edge cases: items shorter than ``PASSAGE`` must match in whole, those under five tokens without a substitution; null and empty texts on either side have no passages; an item whose id is null is used and reported as null;
 rows with a null doc_id are left out; repeated rows and items give one row for each doc_id and item_id; empty tables
 give no rows; further columns are not read.
 """
@@ -26,6 +25,8 @@ from .arrays import mix, raw, rows, slices
 from .tables import table, written
 from .toxicity import tokens
 
+#: The narrow mask misses no passage: before its first substitution a passage has five matches at least, as fewer would
+#: not outweigh ``PENALTY`` and the best passage would start after it; without substitutions it has all its tokens.
 MASKS = ("1101100101011", "1110010110101", "11111")
 #: Tokens of an aligned passage that counts, of which at least 80 % match.
 PASSAGE = 13
@@ -47,11 +48,6 @@ def seeds(w: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(h)
 
 
-def long_enough(mask: str, n: int) -> bool:
-    """The narrow mask serves items that wide masks can't cover."""
-    return len(mask) > 5 or n < PASSAGE + 2
-
-
 def passage(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
     """(start in the document, length, matches) of the best passage where item position 0 lies at ``shift``."""
     a, b = max(0, shift), min(len(doc), shift + len(item))
@@ -77,11 +73,10 @@ class Items:
         self.spans = []
         for m, mask in enumerate(MASKS):
             for i, t in enumerate(self.tokens):
-                if long_enough(mask, len(t)):
-                    s = seeds(t, mask, m)
-                    h.append(s)
-                    item.append(np.full(len(s), i))
-                    at.append(np.arange(len(s)))
+                s = seeds(t, mask, m)
+                h.append(s)
+                item.append(np.full(len(s), i))
+                at.append(np.arange(len(s)))
         h, item, at = map(np.concatenate, (h, item, at))
         order = np.argsort(h, kind="stable")
         self.seeds, self.item, self.at = h[order], item[order], at[order]
@@ -144,9 +139,8 @@ def _seed_rows(kind: str, lengths: list[int]):
             for i, key in enumerate(s.ids.to_pylist()):
                 t = w[first[i] : first[i + 1]]
                 for m, mask in enumerate(MASKS):
-                    if kind == "doc" or long_enough(mask, len(t)):
-                        h = seeds(t, mask, m)
-                        out.append((h.view(np.int64), np.full(len(h), key), np.arange(len(h))))
+                    h = seeds(t, mask, m)
+                    out.append((h.view(np.int64), np.full(len(h), key), np.arange(len(h))))
                 for n in lengths if kind == "doc" else {len(t)} & {*lengths}:
                     h = seeds(t, "1" * n, len(MASKS) + n)
                     out.append((h.view(np.int64), np.full(len(h), key), np.arange(len(h))))

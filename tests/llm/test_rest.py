@@ -58,6 +58,33 @@ def test_both_ways_of_decontamination_give_equal_rows(spark, documents):
     assert small == large and len(small) >= len(items)
 
 
+def test_every_accepted_pattern_of_substitutions_is_hit():
+    """All patterns of overlaps of 13 to 16 tokens in the middle of a longer item and a longer document."""
+    items = decontamination.Items([1], [" ".join(f"t{i}" for i in range(40)).encode()])
+    item = items.tokens[0]
+    tried = 0
+    for n in range(13, 17):
+        for bits in range(1 << n):
+            if bits.bit_count() > n // 5:
+                continue
+            doc = np.arange(1000, 1060, dtype=np.uint64)
+            doc[20 : 20 + n] = item[10 : 10 + n]
+            doc[[20 + i for i in range(n) if bits >> i & 1]] = 5
+            if decontamination.passage(doc, item, 10):
+                tried += 1
+                assert (0, 10) in items.hits(doc), (n, bin(bits))
+    assert tried > 4
+
+
+def test_a_short_overlap_with_a_substitution_is_found(spark, documents):
+    words = [f"u{i}" for i in range(30)]
+    leak = words[5:18]
+    leak[6] = "other"
+    docs, bench = documents([(1, " ".join(["a", "b", *leak, "c", "d"]))]), benchmark(spark, [(5, " ".join(words), 1, 1)])
+    for most in ({}, {"table_bytes": 0}):
+        assert [tuple(r) for r in decontamination.overlaps(docs, bench, **most).collect()] == [(1, 5, 2, 13, 12)]
+
+
 def test_decontamination_finds_every_whole_item(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir).collect()}
     want = {(k, r["item_id"]) for r in table(spark, sf_dir, "benchmark").collect() for k, t in docs.items() if r["text"] in t}
