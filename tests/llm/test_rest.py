@@ -302,6 +302,16 @@ def test_attention_probabilities():
     assert np.allclose(a[:-2], b[:-2], atol=1e-5)
 
 
+def test_attention_sees_sixteen_ids():
+    m = attention.train([np.arange(40, dtype=np.uint32)], 60, passes=1)
+    text = np.arange(17, dtype=np.uint32)
+    other = text.copy()
+    other[0] = 30
+    target = np.full(attention.CONTEXT + 1 + 17, 3, np.int32)
+    a, b = (m._chunk(m.stream([t])[0], target, 0, len(target))[-1] for t in (text, other))
+    assert attention.CONTEXT == 16 and a != b
+
+
 def test_training_gradients():
     rng = np.random.default_rng(5)
     m = attention.train([rng.integers(0, 30, 60).astype(np.uint32)], 40, passes=1)
