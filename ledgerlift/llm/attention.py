@@ -2,7 +2,7 @@
 
 One attention layer over the ``CONTEXT`` ids before a position and itself, with learned distance biases; its output
 and the position's embedding predict the next id through a two-level softmax (``SIDE`` clusters of ``SIDE`` ids by
-frequency). Ids outside the ``SIDE**2 - 3`` most frequent ones of the training sample share one slot and are
+frequency). Ids outside the ``SIDE**2 - 3`` most frequent ones of the training corpus share one slot and are
 told apart uniformly, so probabilities of all ids sum to one.
 
 Texts are laid end to end, each after ``CONTEXT + 1`` start marks, so that a window never sees another text. The stream is cut into
@@ -110,13 +110,11 @@ def _grow(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def train(texts: list[np.ndarray], n_ids: int, rate: float = 0.01, step_blocks: int = 128, passes: int = 2, seed: int = 0) -> Attention:
-    """Adam over windows in a fixed random order; parameters start from the sample's slot frequencies."""
-    ids = np.concatenate([np.empty(0, np.uint32), *texts]).astype(np.int64)
-    count = np.bincount(ids, minlength=n_ids)
+def initial(count: np.ndarray, ends: int, seed: int = 0) -> Attention:
+    """A model before learning: slots and shares from the counts of all ids, biases from the slots' frequencies."""
     common = np.argsort(-count, kind="stable")[: SLOTS - 3]
     common = common[count[common] > 0]
-    slot = np.full(n_ids, RARE, np.int32)
+    slot = np.full(len(count), RARE, np.int32)
     slot[common] = np.arange(len(common))
     share = np.where(slot == RARE, count + 0.1, 0)
     within = np.where(slot == RARE, np.log(np.maximum(share, 0.1) / max(share.sum(), 0.1)), 0.0)
@@ -124,15 +122,33 @@ def train(texts: list[np.ndarray], n_ids: int, rate: float = 0.01, step_blocks:
     normal = lambda *shape, scale=0.1: (rng.standard_normal(shape) * scale).astype(np.float32)
     frequency = np.full(SLOTS, 0.5)
     frequency[: len(common)] += count[common]
-    frequency[END] += len(texts)
+    frequency[END] += ends
     frequency[len(common) : END] = 1e-6
     frequency[RARE] += count[slot == RARE].sum()
     frequency[START] = 1e-6
     f = frequency.reshape(SIDE, SIDE)
     p = {"emb": normal(SLOTS, WIDTH), "q": normal(WIDTH, WIDTH, scale=0.3), "k": normal(WIDTH, WIDTH, scale=0.3), "v": normal(WIDTH, WIDTH, scale=0.3), "o": normal(WIDTH, WIDTH, scale=0.3), "bias": np.zeros(CONTEXT + 1, np.float32), "wc": normal(WIDTH, SIDE), "bc": np.log(f.sum(1) / f.sum()).astype(np.float32), "wi": normal(SIDE, WIDTH, SIDE), "bi": np.log(f / f.sum(1, keepdims=True)).astype(np.float32)}
-    model = Attention(slot, within, p)
-    if not texts:
-        return model
+    return Attention(slot, within, p)
+
+
+class Adam:
+    """Steps that change ``p`` in place."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.t = p, 0
+        self.first, self.second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.t += 1
+        lr = rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        for k, v in g.items():
+            self.first[k] += 0.1 * (v - self.first[k])
+            self.second[k] += 0.01 * (v * v - self.second[k])
+            self.p[k] -= (lr * self.first[k] / (np.sqrt(self.second[k]) + 1e-8)).astype(np.float32)
+
+
+def _examples(model: Attention, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of all texts, what their positions predict, and which of these count."""
     x, where, _ = model.stream(texts)
     use = np.zeros(len(x), bool)
     use[where] = True
@@ -141,19 +157,54 @@ def train(texts: list[np.ndarray], n_ids: int, rate: float = 0.01, step_blocks:
     pad = n * BLOCK - len(x)
     s = np.concatenate([np.full(CONTEXT, START, np.int32), x, np.full(pad, START, np.int32)])
     target, use = np.append(target, np.full(pad, END)).reshape(n, BLOCK), np.append(use, np.zeros(pad, bool)).reshape(n, BLOCK)
-    windows = np.lib.stride_tricks.as_strided(s, (n, BLOCK + CONTEXT), (BLOCK * s.itemsize, s.itemsize))
-    first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    order = np.concatenate([rng.permutation(n) for _ in range(passes)])
+    return np.lib.stride_tricks.as_strided(s, (n, BLOCK + CONTEXT), (BLOCK * s.itemsize, s.itemsize)), target, use
+
+
+def train(texts: list[np.ndarray], n_ids: int, rate: float = 0.01, step_blocks: int = 128, passes: int = 2, seed: int = 0, model: Attention | None = None) -> Attention:
+    """Adam over windows in a fixed random order, from ``model`` or from one with the texts' own frequencies."""
+    if model is None:
+        model = initial(np.bincount(np.concatenate([np.empty(0, np.uint32), *texts]).astype(np.int64), minlength=n_ids), len(texts), seed)
+    if not texts:
+        return model
+    windows, target, use = _examples(model, texts)
+    rng = np.random.default_rng(seed + 1)
+    order = np.concatenate([rng.permutation(len(windows)) for _ in range(passes)])
     steps = -(-len(order) // step_blocks)
+    adam = Adam(model.p)
     for t in range(steps):
         at = order[t * step_blocks : (t + 1) * step_blocks]
-        g = _gradients(p, windows[at], target[at], use[at])
-        lr = rate * (1 - t / steps) * np.sqrt(1 - 0.99 ** (t + 1)) / (1 - 0.9 ** (t + 1))
-        for k, v in g.items():
-            first[k] += 0.1 * (v - first[k])
-            second[k] += 0.01 * (v * v - second[k])
-            p[k] -= (lr * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
-    return Attention(slot, within, p)
+        adam.step(_gradients(model.p, windows[at], target[at], use[at]), rate * (1 - t / steps))
+    return Attention(model.slot, model.within, model.p)
+
+
+class Learner:
+    """One pass of Adam over texts as they come, from a copy of a model's parameters; ``n`` positions so far."""
+
+    def __init__(self, model: Attention, rate: float = 0.003, step_blocks: int = 512, seed: int = 0):
+        self.model, self.rate, self.step_blocks, self.n = model, rate, step_blocks, 0
+        self.p = {k: v.copy() for k, v in model.p.items()}
+        self.adam, self.rng = Adam(self.p), np.random.default_rng(seed)
+
+    def add(self, texts: list[np.ndarray]) -> None:
+        windows, target, use = _examples(self.model, texts)
+        order = self.rng.permutation(len(windows))
+        for a in range(0, len(order), self.step_blocks):
+            at = order[a : a + self.step_blocks]
+            # the rate falls with the steps; a step of few windows weighs less
+            self.adam.step(_gradients(self.p, windows[at], target[at], use[at]), self.rate * len(at) / self.step_blocks / np.sqrt(1 + self.adam.t / 50))
+        self.n += int(use.sum())
+
+
+def to_bytes(p: dict[str, np.ndarray]) -> bytes:
+    return np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float32).tobytes()
+
+
+def from_vector(v: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, a = {}, 0
+    for k in sorted(like):
+        out[k] = v[a : a + like[k].size].reshape(like[k].shape).astype(np.float32)
+        a += like[k].size
+    return out
 
 
 def _gradients(p: dict, windows: np.ndarray, target: np.ndarray, use: np.ndarray) -> dict:

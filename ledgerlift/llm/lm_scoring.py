@@ -5,8 +5,11 @@ frequent words, a fixed number, are sent to all tasks; all other words are joine
 each task and word with all documents that hold it, so no word's rows meet in one place: a word of a third of all rows
 is in the head.
 
-The model (``attention``) learns from whole training documents: the ``SAMPLE`` of least hash of doc_id with at most
-``LONGEST`` bytes, a bounded sample; its ids are those of a public tokenizer, applied to the lower-cased text.
+The model (``attention``) learns from all training documents; its ids are those of a public tokenizer, applied to the
+lower-cased text. Slots and shares come from the corpus' counts of ids, which are those of its words. Parameters start from
+the ``SAMPLE`` documents of least hash of doc_id with at most ``LONGEST`` bytes; then each task learns on from there, over
+all training documents it holds, and the tasks' parameters are averaged by their positions. So scores depend on how the
+table is split into tasks, in the last digits of a learned model.
 
 Edge cases: null and empty texts are the end token alone; rows with a null doc_id are left out, as their parts can't be
 brought together; equal rows (doc_id and text) give one row; without training documents the counts are 0 and
@@ -33,6 +36,8 @@ LONGEST = 1 << 20
 #: Distinct words that a task counts before it sends them on.
 MEMO = 1 << 18
 _COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+_IDS = pa.schema([("id", pa.int64()), ("n", pa.int64())])
+_LEARNED = pa.schema([("n", pa.int64()), ("p", pa.binary())])
 _TAIL = pa.schema([("word", pa.binary()), ("docs", pa.binary()), ("n", pa.binary())])
 _PARTS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("known", pa.int64()), ("logs", pa.float64())])
 _MAIN = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
@@ -92,6 +97,55 @@ class _Tail:
         return words, binary(keys.view(np.uint8).ravel(), 16 * edges), binary(count.astype(np.int32).view(np.uint8), 4 * edges)
 
 
+def _id_counts(path: str, n_ids: int):
+    """Counted words -> counted ids of their tokens, once for each task."""
+
+    def run(batches):
+        total, ids = np.zeros(n_ids, np.int64), shared_ids(path, MEMO)
+        for batch in batches:
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for a in range(0, len(words), 1 << 14):
+                got = ids.split([[w] for w in words[a : a + (1 << 14)]])
+                np.add.at(total, np.concatenate(got).astype(np.int64), np.repeat(n[a : a + (1 << 14)], [len(x) for x in got]))
+        at = np.flatnonzero(total)
+        yield rows(_IDS, at, total[at])
+
+    return run
+
+
+def _learn(model, path: str):
+    """All training documents of a task -> its parameters and the positions that they were learned from."""
+
+    def run(batches):
+        learner, ids = attention.Learner(attention.Attention(*model.value)), shared_ids(path, MEMO)
+        for s in slices(batches):
+            learner.add(ids.split(_words(s)))
+        yield rows(_LEARNED, [learner.n], [attention.to_bytes(learner.p)])
+
+    return run
+
+
+def learned(training: DataFrame, counted: DataFrame, ends: int, path: str) -> attention.Attention:
+    """The model of all documents of ``training``, with the counts ``counted`` (word, n) of their words."""
+    words = WordIds(path)
+    n_ids = words.tokenizer.get_vocab_size()
+    count = np.zeros(n_ids, np.int64)
+    for r in counted.mapInArrow(_id_counts(path, n_ids), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most as many as the tokenizer has
+        count[r["id"]] = r["n"]
+    short = training.where(F.octet_length("text") <= LONGEST)
+    keys = short.select("doc_id", F.xxhash64("doc_id").alias("k")).distinct().orderBy("k", "doc_id").limit(SAMPLE).select("doc_id")
+    texts = [lower(np.frombuffer(r["text"].encode(), np.uint8)).tobytes() for r in short.join(F.broadcast(keys), "doc_id").orderBy("doc_id", "text").limit(SAMPLE).select("text").collect()]
+    model = attention.train(words.texts(texts), n_ids, model=attention.initial(count, ends))
+    shared = training.sparkSession.sparkContext.broadcast((model.slot, model.within, model.p))
+    # one row of fixed size for each task, read one at a time
+    found = written(training.select("doc_id", "text").mapInArrow(_learn(shared, path), "n long, p binary"))
+    total, mean = 0, np.zeros(sum(v.size for v in model.p.values()))
+    for r in found.where("n > 0").toLocalIterator():
+        total += r["n"]
+        mean += (np.frombuffer(r["p"], np.float32) - mean) * (r["n"] / total)
+    return attention.Attention(model.slot, model.within, attention.from_vector(mean, model.p)) if total else model
+
+
 def _parts(total: int, distinct: int):
     """Joined words -> for each document of the batch, how many of its tokens are known and their summed logarithms."""
 
@@ -156,11 +210,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     distinct, total = table_.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct, total = distinct + (ends > 0), total + ends
     head = {bytes(r["word"]): r["n"] for r in table_.orderBy(F.desc("n"), "word").limit(HEAD).toLocalIterator()}
-    learned = training.where(F.octet_length("text") <= LONGEST)
-    keys = learned.select("doc_id", F.xxhash64("doc_id").alias("k")).distinct().orderBy("k", "doc_id").limit(SAMPLE).select("doc_id")
-    texts = [lower(np.frombuffer(r["text"].encode(), np.uint8)).tobytes() for r in learned.join(F.broadcast(keys), "doc_id").orderBy("doc_id", "text").limit(SAMPLE).select("text").collect()]
-    words = WordIds(path)
-    model = attention.train(words.texts(texts), words.tokenizer.get_vocab_size())
+    model = learned(training, table_, ends, path)
     sent, shared = spark.sparkContext.broadcast(head), spark.sparkContext.broadcast((model.slot, model.within, model.p))
     both = written(docs.mapInArrow(_scan(sent, shared, path, total, distinct, ends), _BOTH_SCHEMA))
     main, tail = both.where("word is null"), both.where("word is not null")

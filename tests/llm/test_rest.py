@@ -302,6 +302,32 @@ def test_attention_probabilities():
     assert np.allclose(a[:-2], b[:-2], atol=1e-5)
 
 
+def test_attention_learns_from_documents_outside_the_sample(documents, monkeypatch):
+    """With no sample at all, what a model knows comes from the tasks' own documents."""
+    rng = random.Random(2)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    some, rest = ["apple", "house", "river"], ["window", "garden", "street"]
+    pairs = [(i, say(some, 40)) for i in range(250)]
+    more = [(1000 + i, " ".join(rest * 30)) for i in range(250)] + [(5001, " ".join(rest * 10)), (5002, " ".join(sorted(rest) * 10))]
+
+    def scores(rows, sample):
+        monkeypatch.setattr(lm_scoring, "SAMPLE", sample)
+        return {r["doc_id"]: r["score"] for r in lm_scoring.score(documents(rows), packing.tokenizer_path()).collect()}
+
+    alone = scores(pairs + more[-2:], 3)
+    both = scores(pairs + more, 0)
+    assert both[5001] > alone[5001] + 5
+
+
+def test_id_counts_are_those_of_the_whole_corpus(spark, documents):
+    docs = documents([(i, f"alpha beta w{i}, Gamma!" * (i % 4)) for i in range(300)])
+    words = packing.WordIds(packing.tokenizer_path())
+    n = words.tokenizer.get_vocab_size()
+    got = lm_scoring.counts(docs).mapInArrow(lm_scoring._id_counts(packing.tokenizer_path(), n), "id long, n long").groupBy("id").sum("n").collect()
+    want = Counter(np.concatenate(words.texts([r["text"].lower().encode() for r in docs.collect()])).tolist())
+    assert {r[0]: r[1] for r in got} == want
+
+
 def test_attention_sees_sixteen_ids():
     m = attention.train([np.arange(40, dtype=np.uint32)], 60, passes=1)
     text = np.arange(17, dtype=np.uint32)
