@@ -1,36 +1,40 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated bigram models over lower-cased words, one of toxic and one of ordinary texts, share their backoff:
-continuation counts are taken over both classes together, so an expression that either class has hardly seen gets
-nearly the same probability from both. A text's score compares the length-normalised log-likelihoods: the sum of the
-word-wise log ratios over a power of the length, through a logistic curve fitted on training texts left out of the
-counts. A word's evidence is used as far as the classes' own counts support it (see ``Model``).
-
-Learning takes a bounded sample of labelled rows: at most ``SAMPLE`` of each class, those with the least hash of doc_id
-among texts of at most ``LONGEST`` bytes. Scoring covers every whole text.
-
-Edge cases: null and empty texts are scored by the prior alone (length 0 gives log ratio 0); null labels are not
-learned from; a label of a repeated doc_id is the largest; a null doc_id is scored and counts as held out; where a
-class has no labelled row every score is 0.0; empty tables give no rows; further columns are not read.
+Two interpolated bigram models over lower-cased words, one of toxic and one of ordinary texts. A class's bigrams are
+discounted occurrence counts, its words discounted continuation counts (distinct words before it), and below both lie
+continuation counts that the classes share: P(w|v) = bigram(v, w) + weight(v) x (word(w) + weight x shared(w)). So an
+expression that either class has hardly seen gets nearly the same probability from both. Every token of a text is scored
+under both models, with all their masses.
+
+A text is compared by its length-normalised log-likelihoods: the difference over a power of the length, kept apart by
+how often the words occur in the shared counts (octaves), once as it is and once weighted by its square, since the
+many small differences of frequent words are those of topics and languages. A logistic curve over these, fitted on
+training texts left out of the counts, gives the score.
+
+Learning takes a bounded sample of labelled rows: of each class the ``SAMPLE`` with the least hash of doc_id, as far as
+``SAMPLE_BYTES`` reach (the row that crosses them is the last one), one row of each doc_id. Scoring covers every whole text.
+
+Edge cases: null and empty texts are scored by the curve's bias alone; null labels are not learned from; a label of a
+repeated doc_id is the largest, and its text the least; a null doc_id is scored and counts as held out; where a class has no
+labelled row every score is 0.0; empty tables give no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import SLICE_BYTES, Hasher, lower, mix, rows, slices
+from .arrays import SLICE_BYTES, Hasher, lower, rows, slices
 from .tables import table
 
-#: Labelled rows of each class that are learned from, whole; rows of more than LONGEST bytes are not among them.
-SAMPLE = 1500
-LONGEST = 1 << 17
+#: Labelled rows of each class that are learned from, whole, and about how many bytes of them.
+SAMPLE, SAMPLE_BYTES = 1500, 32 << 20
 DISCOUNT = 0.75
-#: Of a likelihood-ratio statistic (chi-squared with one degree of freedom): one in 10**6 by chance.
-EVIDENCE = 24.0
-EFFECT = 0.7
+#: Octaves of shared counts that are kept apart; the last one holds all beyond.
+BANDS = 14
+RIDGE = 0.1
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 _WORD = Hasher(31)
@@ -54,46 +58,6 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _WORD.of(_WORD.prefix(data), s, np.flatnonzero(end) + 1), np.searchsorted(s, offs)
 
 
-def bigrams(w: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each word the hash of it with the word before it; a text's first word follows a mark."""
-    before = np.concatenate([[np.uint64(1)], w[:-1]]) if len(w) else w
-    before[first[:-1][first[:-1] < len(w)]] = np.uint64(1)
-    return mix(before * np.uint64(3) + mix(w))
-
-
-class _Counts:
-    """Sorted keys with values; absent keys give 0."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, values
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(x))
-        at = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
-        return np.where(self.keys[at] == x, self.values[at], 0.0)
-
-
-class Model:
-    """Log ratios of words and of bigrams, precomputed: P(w|v) = discounted bigram + weight x (discounted word + weight x shared)."""
-
-    def __init__(self, words: _Counts, pairs: _Counts, slope: float, bias: float, power: float):
-        self.words, self.pairs, self.slope, self.bias, self.power = words, pairs, slope, bias, power
-
-    def ratios(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        w, first = tokens(data, offs)
-        if not len(w):
-            return np.zeros(len(offs) - 1)
-        pair = self.pairs(bigrams(w, first))
-        value = np.where(pair != 0, pair, self.words(w))
-        total = np.concatenate([[0.0], np.cumsum(value)])
-        length = np.maximum(np.diff(first), 1)
-        return (total[first[1:]] - total[first[:-1]]) / length**self.power
-
-    def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.ratios(data, offs) + self.bias, -700, 700)))
-
-
 def _chunks(texts: list[bytes], limit: int = SLICE_BYTES // 8):
     """Runs of texts of about ``limit`` bytes, as one buffer and offsets each: hashing needs many times a text's bytes."""
     part, size = [], 0
@@ -111,108 +75,127 @@ def _join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def _contexts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: itself, its bigram, and the words one and two before it (a mark before a text)."""
-    w, first = tokens(data, offs)
-    mark = np.uint64(1)
-    start = np.zeros(len(w), bool)
-    start[first[:-1][first[:-1] < len(w)]] = True
-    b1 = np.where(start, mark, np.concatenate([[mark], w[:-1]])) if len(w) else w
-    b2 = np.where(start, mark, np.concatenate([[mark], b1[:-1]])) if len(w) else w
-    return w, bigrams(w, first), b1, b2
+class Model:
+    """Both class models over one vocabulary, and the curve.
+
+    ``words`` are sorted hashes; ``p`` and ``weight`` hold, for each class, a word's probability and the mass that its
+    successors leave to their words, with two more places: words never seen, and the mark before a text. ``pairs`` are
+    sorted (word before, word) numbers and ``q`` their discounted shares.
+    """
 
+    def __init__(self, words, band, p, weight, pairs, q, curve=None, bias: float = 0.0, power: float = 1.0):
+        self.words, self.band, self.p, self.weight, self.pairs, self.q, self.curve, self.bias, self.power = words, band, p, weight, pairs, q, curve, bias, power
 
-def _models(toxic: list[bytes], ordinary: list[bytes]) -> tuple[_Counts, _Counts]:
-    """Log ratios of all words and of the bigrams that a class has seen often enough to differ from its word.
+    def state(self) -> tuple:
+        return self.words, self.band, self.p, self.weight, self.pairs, self.q, self.curve, self.bias, self.power
 
-    Below the highest order Kneser-Ney counts contexts, not occurrences: a word or bigram counts once for each distinct word before
-    it. So a passage that copies repeat weighs no more than one of them.
-    """
+    def places(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of each token and of the one before it, and each text's first token."""
+        w, first = tokens(data, offs)
+        n = len(self.words)
+        at = np.minimum(np.searchsorted(self.words, w), n - 1)
+        at = np.where(self.words[at] == w, at, n)
+        before = np.concatenate([[n + 1], at[:-1]]) if len(at) else at
+        before[first[:-1][first[:-1] < len(at)]] = n + 1
+        return at, before, first
+
+    def logs(self, at: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each token under each class: of the whole model, and of its word level alone."""
+        key = before * np.int64(len(self.words) + 2) + at
+        k = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
+        seen = self.pairs[k] == key if len(self.pairs) else np.zeros(len(key), bool)
+        word = self.p[:, at]
+        return np.log(np.where(seen, self.q[:, k] if len(self.pairs) else 0, 0) + self.weight[:, before] * word), np.log(word)
+
+    def features(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the differences of its tokens' logs, summed by octave and power, and its length."""
+        at, before, first = self.places(data, offs)
+        whole, word = (x[1] - x[0] for x in self.logs(at, before))
+        n = len(offs) - 1
+        cell = np.repeat(np.arange(n), np.diff(first)) * (BANDS + 1)
+        found = []
+        for power in (1, 3):
+            by_band = np.bincount(cell + self.band[at], word**power, minlength=n * (BANDS + 1))
+            top = np.bincount(cell + BANDS, (whole - word) ** power, minlength=n * (BANDS + 1))
+            found.append((by_band + top).reshape(n, -1))
+        return np.concatenate(found, axis=1), np.maximum(np.diff(first), 1)
+
+    def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        x, length = self.features(data, offs)
+        return 1 / (1 + np.exp(-np.clip(x / length[:, None] ** self.power @ self.curve + self.bias, -700, 700)))
+
+
+def count(ordinary: list[bytes], toxic: list[bytes]) -> Model:
+    """The class models of two lists of texts, without a curve."""
+    held = [[tokens(*chunk) for chunk in _chunks(texts)] for texts in (ordinary, toxic)]
+    words = np.unique(np.concatenate([w for parts in held for w, _ in parts]))
+    n = len(words)
+    model = Model(words, None, None, None, np.empty(0, np.int64), None)
     seen = []
-    for texts in (toxic, ordinary):
-        parts = [_contexts(*chunk) for chunk in _chunks(texts)] or [(np.empty(0, np.uint64),) * 4]
-        w, pair, b1, b2 = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        once = np.unique(pair, return_index=True)[1]  # (word before, word)
-        thrice = np.unique(pair * np.uint64(5) + mix(b2), return_index=True)[1]  # (word before, bigram)
-        seen.append((w[once], pair[thrice], b1[thrice], w[thrice]))
-    del w, pair, b1, b2, once, thrice
-    words, word_at = np.unique(np.concatenate([x[0] for x in seen]), return_inverse=True)
-    pairs, at, pair_at = np.unique(np.concatenate([x[1] for x in seen]), return_index=True, return_inverse=True)
-    # bigrams of few contexts keep their word's ratio; they only count in their context's sums
-    often = np.flatnonzero(np.bincount(pair_at, minlength=len(pairs)) > 3)
-    pair_word = np.searchsorted(words, np.concatenate([x[3] for x in seen])[at[often]])
-    # shared backoff: the contexts of both classes together
-    shared = np.bincount(word_at, minlength=len(words)) + 0.5
-    shared = shared / (shared.sum() + 0.5)
-    context = np.unique(np.concatenate([x[2] for x in seen]), return_inverse=True)[1].astype(np.int32)
-    pair_context, pair_at = context[at], pair_at.astype(np.int32)
-    contexts = int(context.max()) + 1 if len(context) else 1
-    logs, cut, cut2 = [], len(seen[0][0]), len(seen[0][1])
-    for s1, s2 in ((slice(0, cut), slice(0, cut2)), (slice(cut, None), slice(cut2, None))):
-        c = np.bincount(word_at[s1], minlength=len(words)).astype(float)
-        p1 = np.maximum(c - DISCOUNT, 0) / max(1.0, c.sum())
-        p1 = p1 + max(1 - p1.sum(), 1e-9) * shared
-        c2 = np.bincount(pair_at[s2], minlength=len(pairs))
-        kept = np.maximum(c2 - DISCOUNT, 0)
-        left = np.maximum(np.bincount(context[s2], minlength=contexts), 1)
-        mass = np.maximum(1 - np.bincount(pair_context, kept, minlength=contexts) / left, 1e-9)
-        own = pair_context[often]
-        logs.append((np.log(p1), np.log(kept[often] / left[own] + mass[own] * p1[pair_word]), c, c2[often].astype(float)))
-        del c2, kept
-    (t1, t2, ct, ct2), (o1, o2, co, co2) = logs
-
-    def supported(ratio, x, y):
-        """A ratio counts where the classes' context counts differ by more than chance: a likelihood-ratio statistic of at least ``EVIDENCE``, and at least e**EFFECT-fold: lesser ones are those of topics and languages."""
-        n, m = max(1.0, x.sum()), max(1.0, y.sum())
-        e = (x + y) * n / (n + m)
-        f = (x + y) - e
-        g = 2 * (x * np.log(np.maximum(x, 1) / np.maximum(e, 1e-12)) + y * np.log(np.maximum(y, 1) / np.maximum(f, 1e-12)))
-        return np.where((g >= EVIDENCE) & (np.abs(ratio) >= EFFECT), ratio, 0.0)
-
-    word_ratio, pair_ratio = supported(t1 - o1, ct, co), supported(t2 - o2, ct2, co2)
-    keep = np.abs(pair_ratio) > np.abs(word_ratio[pair_word]) + 0.5
-    used = word_ratio != 0
-    return _Counts(words[used], word_ratio[used]), _Counts(pairs[often[keep]], pair_ratio[keep])
+    for texts in (ordinary, toxic):
+        parts = [model.places(*chunk) for chunk in _chunks(texts)]
+        key = np.concatenate([before * np.int64(n + 2) + at for at, before, _ in parts])
+        seen.append(np.unique(key, return_counts=True))
+    contexts = [np.bincount(key % (n + 2), minlength=n + 1)[: n + 1].astype(float) for key, _ in seen]
+    total = contexts[0] + contexts[1]
+    shared = (total + 0.5) / (total + 0.5).sum()
+    pairs = np.unique(np.concatenate([key for key, _ in seen]))
+    p, weight, q = np.empty((2, n + 2)), np.ones((2, n + 2)), np.zeros((2, len(pairs)), np.float32)
+    for c, ((key, times), own) in enumerate(zip(seen, contexts, strict=True)):
+        kept = np.maximum(own - DISCOUNT, 0) / max(1.0, own.sum())
+        p[c, : n + 1] = kept + (1 - kept.sum()) * shared
+        before = key // (n + 2)
+        share = np.maximum(times - DISCOUNT, 0) / np.maximum(np.bincount(before, times, minlength=n + 2), 1)[before]
+        weight[c] -= np.bincount(before, share, minlength=n + 2)
+        q[c, np.searchsorted(pairs, key)] = share
+    p[:, n + 1] = 1.0  # the mark is never predicted
+    band = np.minimum(np.log2(np.maximum(np.append(total, 0), 1)).astype(np.int64), BANDS - 1)
+    return Model(words, band, p, weight, pairs, q)
+
+
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Curve, bias and loss of a logistic regression: Newton steps with a weak ridge, over features of equal spread."""
+    spread = np.maximum(x.std(0), 1e-9)
+    u, theta = np.concatenate([x / spread, np.ones((len(x), 1))], axis=1), np.zeros(x.shape[1] + 1)
+    chance = lambda: 1 / (1 + np.exp(-np.clip(u @ theta, -30, 30)))
+    for _ in range(50):
+        p = chance()
+        slope = u.T @ (weight * (p - y)) + RIDGE * theta
+        bend = (u * (weight * p * (1 - p))[:, None]).T @ u + RIDGE * np.eye(len(theta))
+        theta -= np.linalg.solve(bend, slope)
+    p = np.clip(chance(), 1e-9, 1 - 1e-9)
+    return theta[:-1] / spread, float(theta[-1]), float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
 
 
 def train(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model | None:
-    """Fit the counts on three quarters and the curve on the rest; ``share`` is the toxic rows' share among labelled ones."""
+    """Counts of three quarters of the texts, the curve from the rest; ``share`` is the toxic rows' share among labelled ones."""
     if not toxic or not ordinary:
         return None
     split = lambda xs: ([x for i, x in enumerate(xs) if i % 4], [x for i, x in enumerate(xs) if not i % 4])
     (tf, tr), (of, orr) = split(toxic), split(ordinary)
-    words, pairs = _models(tf or tr, of or orr)
+    model = count(of or orr, tf or tr)
     y = np.concatenate([np.ones(len(tr)), np.zeros(len(orr))])
     weight = np.where(y == 1, share / len(tr), (1 - share) / len(orr)) * len(y)
-    best = None
-    for power in (1.0, 0.75, 0.5, 0.25):
-        m = Model(words, pairs, 1, 0, power)
-        x = np.concatenate([m.ratios(*chunk) for chunk in _chunks([*tr, *orr])])
-        spread = max(x.std(), 1e-9)
-        u, theta = np.stack([x / spread, np.ones(len(x))], 1), np.zeros(2)
-        for _ in range(50):  # Newton, with a weak ridge
-            p = 1 / (1 + np.exp(-np.clip(u @ theta, -30, 30)))
-            g = u.T @ (weight * (p - y)) + 1e-2 * theta
-            h = (u * (weight * p * (1 - p))[:, None]).T @ u + 1e-2 * np.eye(2)
-            theta -= np.linalg.solve(h, g)
-        p = np.clip(1 / (1 + np.exp(-np.clip(u @ theta, -30, 30))), 1e-9, 1 - 1e-9)
-        loss = -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()
-        if best is None or loss < best[0]:
-            best = (loss, power, theta[0] / spread, theta[1])
-    words, pairs = _models(toxic, ordinary)
-    return Model(words, pairs, best[2], best[3], best[1])
+    parts = [model.features(*chunk) for chunk in _chunks([*tr, *orr])]
+    x, length = (np.concatenate(v) for v in zip(*parts, strict=True))
+    fits = [(*fit(x / length[:, None] ** power, y, weight), power) for power in (1.0, 0.5)]
+    model.curve, model.bias, _, model.power = min(fits, key=lambda f: f[2])
+    return model
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     """From labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
-    count = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     got = {}
     for label in (1, 0):
         keys = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id")
-        got[label] = sorted(r["text"].encode() for r in docs.where(F.octet_length("text") <= LONGEST).join(F.broadcast(keys), "doc_id").select("text").collect())
-    return train(got[1], got[0], count.get(1, 0) / max(1, sum(count.values())))
+        texts = docs.where("text is not null").join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # of at most SAMPLE rows
+        before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        texts = texts.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < SAMPLE_BYTES)
+        got[label] = [r["text"].encode() for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").collect()]
+    return train(got[1], got[0], found.get(1, 0) / max(1, sum(found.values())))
 
 
 def held_out():
@@ -220,12 +203,11 @@ def held_out():
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    state = model and (model.words.keys, model.words.values, model.pairs.keys, model.pairs.values, model.slope, model.bias, model.power)
-    shared = docs.sparkSession.sparkContext.broadcast(state)
+    shared = docs.sparkSession.sparkContext.broadcast(model and model.state())
 
     def run(batches):
         x = shared.value
-        m = x and Model(_Counts(*x[:2]), _Counts(*x[2:4]), *x[4:])
+        m = x and Model(*x)
         for s in slices(batches):
             p = m.score(s.data, s.offs) if m else np.zeros(len(s))
             yield rows(_ARROW, s.ids, s.batch.column(2), p, (p >= 0.5).astype(np.int32))
@@ -238,11 +220,10 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = learn(docs, labels)
     if model is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast((model.words.keys, model.words.values, model.pairs.keys, model.pairs.values, model.slope, model.bias, model.power))
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())
 
     def run(batches):
-        x = shared.value
-        m = Model(_Counts(*x[:2]), _Counts(*x[2:4]), *x[4:])
+        m = Model(*shared.value)
         for s in slices(batches):
             yield s.batch.filter(pa.array(m.score(s.data, s.offs) < 0.5))
 

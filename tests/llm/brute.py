@@ -91,3 +91,39 @@ def near_components(docs, k=5, least=0.8):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {key: find(key) for key in docs}
+
+
+def kneser_ney(classes, discount):
+    """text -> its log-likelihood under the interpolated bigram model of each class (a list of texts), for op3."""
+    import math
+    from collections import Counter, defaultdict
+
+    def words(text):
+        return re.findall(rb"[0-9a-z\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in text))
+
+    times, contexts = [], []
+    for texts in classes:
+        times.append(Counter(p for t in texts for p in zip([None, *words(t)], words(t))))
+        contexts.append(Counter(w for _, w in times[-1]))
+    vocabulary = set().union(*contexts)
+    total = {w: sum(c[w] for c in contexts) + 0.5 for w in [*vocabulary, "unseen"]}
+    whole = sum(total.values())
+
+    def likelihood(text, c):
+        n = sum(contexts[c].values())
+        kept = {w: max(k - discount, 0) / n for w, k in contexts[c].items()}
+        left = 1 - sum(kept.values())
+        after = defaultdict(dict)
+        for (v, w), k in times[c].items():
+            after[v][w] = k
+        logs = 0.0
+        for v, w in zip([None, *words(text)], words(text)):
+            p = kept.get(w, 0) + left * total.get(w, 0.5) / whole
+            if v in after:
+                m = sum(after[v].values())
+                share = {x: max(k - discount, 0) / m for x, k in after[v].items()}
+                p = share.get(w, 0) + (1 - sum(share.values())) * p
+            logs += math.log(p)
+        return logs
+
+    return lambda text: [likelihood(text, c) for c in range(len(classes))]

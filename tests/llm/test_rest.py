@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import brute
 import numpy as np
 import pytest
 from oracle import duck, spark_rows
@@ -45,8 +46,8 @@ def test_verbatim_and_substituted_passages_are_found(spark, documents):
     assert got.keys() == leaks.keys()
     assert got[30, 0]["matched"] == 36 and got[30, 0]["length"] == 40 and got[10, 0]["start"] == 50
     assert {r["doc_id"] for r in decontamination.keep_clean(docs, bench).collect()} == {d for d, _ in pairs} - {d for d, _ in leaks}
-    shuffled = {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(docs, bench, table_bytes=0).collect()}
-    assert shuffled == {(d, i) for d, i in leaks if len(items[i]) >= 5}
+    shuffled = {(r["doc_id"], r["item_id"]): r for r in decontamination.overlaps(docs, bench, table_bytes=0).collect()}
+    assert shuffled == got
 
 
 def test_both_ways_of_decontamination_give_equal_rows(spark, documents):
@@ -125,6 +126,45 @@ def test_toxicity_is_learned_and_held_out(spark, documents):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, r in got.items() if not r["predicted"]}
 
 
+def test_both_class_models_equal_plain_kneser_ney():
+    rng = random.Random(8)
+    say = lambda words: " ".join(rng.choice(words) for _ in range(rng.randint(0, 25))).encode()
+    ordinary, toxic = ([say("a b c d e É the".split() + extra) for _ in range(30)] for extra in (["plain", "word"], ["vile", "vile", "word"]))
+    model, plain = toxicity.count(ordinary, toxic), brute.kneser_ney([ordinary, toxic], toxicity.DISCOUNT)
+    texts = [*ordinary[:5], *toxic[:5], b"", b"vile, never heard; The a", b"never never"]
+    at, before, first = model.places(*toxicity._join(texts))
+    whole, _ = model.logs(at, before)
+    for i, t in enumerate(texts):
+        assert np.allclose(whole[:, first[i] : first[i + 1]].sum(1), plain(t), rtol=1e-5), t
+    # all probabilities after any word, seen or not, sum to one
+    n = len(model.words)
+    for v in range(n + 2):
+        assert np.allclose(np.exp(model.logs(np.arange(n + 1), np.full(n + 1, v))[0]).sum(1), 1, atol=1e-5)
+
+
+def test_toxicity_of_rare_expressions_needs_no_gate():
+    """Expressions of six toxic texts each move a score, as far as the shared backoff lets them."""
+    rng = random.Random(9)
+    say = lambda: [f"w{rng.randint(0, 400)}" for _ in range(40)]
+    rude = [f"rude{i}" for i in range(30)]
+    ordinary, toxic = [say() for _ in range(150)], [say() + rng.sample(rude, 3) for _ in range(150)]
+    model = toxicity.train([" ".join(t).encode() for t in toxic], [" ".join(t).encode() for t in ordinary], 0.5)
+    texts = [" ".join(say() + rng.sample(rude, 3) * (i % 2)).encode() for i in range(200)]
+    right = (model.score(*toxicity._join(texts)) >= 0.5) == (np.arange(200) % 2 == 1)
+    assert right.mean() > 0.95
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, documents, monkeypatch):
+    docs, labels, pairs = labelled(spark, documents, 200)
+    taken = {}
+    monkeypatch.setattr(toxicity, "train", lambda toxic, ordinary, share: taken.update(toxic=toxic, ordinary=ordinary))
+    toxicity.learn(docs.union(docs), labels)
+    assert len(taken["toxic"]) == len({k for k, _ in pairs if k % 4 == 0 and zlib.crc32(str(k).encode()) % 5})  # one row of each doc_id
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    toxicity.learn(docs, labels)
+    assert sum(map(len, taken["ordinary"][:-1])) < 1000 <= sum(map(len, taken["ordinary"]))
+
+
 def test_toxicity_without_labels(spark, documents, none):
     docs, labels, pairs = labelled(spark, documents, 20)
     nothing = labels.where("toxic > 5")
