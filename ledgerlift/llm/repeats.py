@@ -17,8 +17,9 @@ Windows never leave their piece, and equal windows always meet in one bucket, so
 Memory: a group holds about ``GROUP_BYTES`` of text (or one longer document); a bucket's pieces are indexed in
 batches that end between marks.
 
-Edge cases: rows with a null doc_id can't be ordered or reported and are left out; of rows that repeat a doc_id the one
-with the least text counts; null text is empty; texts shorter than a window have none.
+Edge cases: rows with a null doc_id can't be ordered or reported and are left out; rows that repeat a doc_id are parts of one
+document, distinct texts one after the other in the order of their bytes, and each row is returned, equal rows with equal
+results; null text is empty; texts shorter than a window have none.
 """
 
 from __future__ import annotations
@@ -51,22 +52,24 @@ class Spec:
     same_document: bool
 
 
-def places(table: pa.Table) -> list[tuple[int, bytes, int]]:
-    """(doc_id, text, row) of a group, one of each doc_id."""
-    out: dict[int, tuple[bytes, int]] = {}
+def documents(table: pa.Table) -> list[tuple[int, bytes, int, list[int]]]:
+    """(doc_id, text, base, rows) of a group, in order; equal rows are one.
+
+    Texts that share a doc_id are laid one after the other, in the order of their bytes: ``base`` is the unit at which one begins.
+    """
+    out: dict[tuple[int, bytes], list[int]] = {}
     at = 0
     for batch in table.to_batches():
         data, offs = raw(batch.column(batch.schema.get_field_index("text")))
         for i, key in enumerate(batch.column(batch.schema.get_field_index("doc_id")).to_pylist()):
-            text = data[offs[i] : offs[i + 1]].tobytes()
-            if key not in out or text < out[key][0]:
-                out[key] = text, at + i
+            out.setdefault((key, data[offs[i] : offs[i + 1]].tobytes()), []).append(at + i)
         at += batch.num_rows
-    return [(k, *out[k]) for k in sorted(out)]
-
-
-def documents(table: pa.Table) -> list[tuple[int, bytes]]:
-    return [(key, text) for key, text, _ in places(table)]
+    found, base, last = [], 0, None
+    for key, text in sorted(out):
+        base = base if key == last else 0
+        found.append((key, text, base, out[key, text]))
+        base, last = base + len(text) + 1, key  # a text has no more units than bytes
+    return found
 
 
 def runs(gram_hashes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +96,7 @@ def _mark(spec: Spec, buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         found = [np.empty(0, np.uint64)]
-        for _, text in documents(table):
+        for _, text, _, _ in documents(table):
             grams = spec.units(text)[-1]
             found.append(grams[minimizers(grams, w)])  # each place, so that windows which repeat close together show
         marks, counts = np.unique(np.concatenate(found), return_counts=True)
@@ -136,7 +139,7 @@ def _cut(spec: Spec, buckets: int):
         piece: list[int] = []
         doc: list[np.ndarray] = []
         where: list[np.ndarray] = []
-        for key, text in documents(left) if len(wanted) else []:
+        for key, text, base, _ in documents(left) if len(wanted) else []:
             units = spec.units(text)
             start, n, mark = runs(units[-1], w)
             at = np.minimum(np.searchsorted(wanted, mark), len(wanted) - 1)
@@ -149,7 +152,7 @@ def _cut(spec: Spec, buckets: int):
                     marks.append(m)
                 piece.append(k)
             doc.append(np.full(len(hit), key, np.int64))
-            where.append(start[hit].astype(np.int64))
+            where.append(start[hit].astype(np.int64) + base)
         contents = list(known)
         out = []
         if contents:
@@ -240,10 +243,12 @@ def _finish(spec: Spec, schema: pa.Schema, row: Callable, carry: list[str]):
         ranges = np.concatenate([np.empty((3, 0), np.int64), *parts], axis=1)
         ranges = ranges[:, np.argsort(ranges[0], kind="stable")]
         out, at = [], []
-        for key, text, i in places(left):
+        for key, text, base, own in documents(left):
             a, b = np.searchsorted(ranges[0], [key, key + 1])
-            out.append(row(key, text, ranges[1:, a:b]))
-            at.append(i)
+            mine = ranges[1:, a:b]
+            mine = mine[:, (mine[0] >= base) & (mine[0] <= base + len(text))] - base
+            out.extend([row(key, text, mine)] * len(own))
+            at.extend(own)
         found = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
         for name in carry:
             found = found.append_column(f"carried_{name}", left.column(f"carried_{name}").take(pa.array(at, pa.int64())))

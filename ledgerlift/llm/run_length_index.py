@@ -210,7 +210,7 @@ def _text(key: int, text: bytes, ranges: np.ndarray):
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with the repeats cut out of ``text`` and ``n_chars`` (if there) counted anew.
 
-    A character of which a cut leaves a part goes too. Rows with a null doc_id stay as they are.
+    A character of which a cut leaves a part goes too. All rows stay, those with a null doc_id as they are.
     """
     carry = [c for c in docs.columns if c not in ("doc_id", "text")]
     found = apply(docs, SPEC, "doc_id long, text string", _TEXT, _text, carry)

@@ -25,6 +25,16 @@ def test_odd_texts(documents, odd, texts):
     assert op7(docs) == brute.passages(texts)
 
 
+def test_rows_that_repeat_a_doc_id_all_come_back(documents):
+    say = lambda tag: " ".join(f"{tag}{i}" for i in range(60))
+    pairs = [(1, say("a")), (1, say("b")), (1, say("b")), (1, say("a") + " " + say("c")), (2, "two " + say("c")), (2, None), (3, say("d"))]
+    found = R.cut_repeats(documents(pairs)).collect()
+    # of texts of one doc_id the lesser comes first: what it holds is cut from the others, and from later documents
+    assert sorted((r["doc_id"], r["text"]) for r in found) == [(1, " " + say("c")), (1, say("a")), (1, say("b")), (1, say("b")), (2, ""), (2, "two"), (3, say("d"))]
+    words = sorted((r["doc_id"], r["kept"]) for r in T.remove_repeats(documents(pairs)).collect())
+    assert words == [(1, say("a")), (1, say("a") + " " + say("c")), (1, say("b")), (1, say("b")), (2, ""), (2, "two"), (3, say("d"))]
+
+
 def test_empty_table(documents):
     docs = documents([]) if False else documents([(1, "x")]).where("doc_id < 0")
     assert op2(docs) == {} and op7(docs) == {}
