@@ -250,13 +250,18 @@ def groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 #: Of the near-duplicate search: words of a shingle, least Jaccard similarity of shingle sets, parts looked at in each
 #: of two partitions of the hash space, and shingles that a part has on average in the coarser one.
 NEAR_SHINGLE, NEAR, PARTS, PART_SHINGLES = 5, 0.8, 10, 4
-#: Buckets in which shingles are counted, to put rare ones first.
-BUCKETS = 1 << 20
+#: Buckets in which shingles are counted, to put rare ones first, and the pieces in which their counts are summed.
+BUCKETS, PIECES = 1 << 18, 16
 #: Holders of a key that are compared in one place; those of a hotter key are compared as pairs of blocks of about this many.
 HOT = 2048
-_NEAR = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("counts", pa.binary())])
+#: Texts that are verified against one other text in one place.
+STAR = 256
+_NEAR_FIELDS = "doc_id long, h long, fp long, node binary, keys array<long>, size int, bits binary, piece int, counts binary"
+_NEAR = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("size", pa.int32()), ("bits", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
+_PIECE = pa.schema([("piece", pa.int32()), ("counts", pa.binary())])
 _PREFIX = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("size", pa.int32()), ("low", pa.int32()), ("keys", pa.list_(pa.int64()))])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_APART = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int32())])
 
 
 def part_keys(h: np.ndarray) -> np.ndarray:
@@ -284,15 +289,41 @@ def _set(text: bytes) -> np.ndarray:
     return np.unique(shingles(text, NEAR_SHINGLE))
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """Bitmap of about two bits a shingle; a bit is the parity of how many shingles of the set fall on it.
+
+    Of two sets' bitmaps at most as many bits differ as there are shingles in only one of them: a bound that loses no pair.
+    """
+    n = 1 << max(6, int(2 * len(h) - 1).bit_length() if len(h) else 6)
+    return np.packbits(np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1, bitorder="little")
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits that differ between two bitmaps, the longer one folded to the shorter one's length."""
+    if len(x) != len(y):
+        n = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _near_prints(batches):
-    """A row for each document, and one for the task with the bucket counts of its sets' shingles."""
+    """A row for each document, and ``PIECES`` for the task with the bucket counts of its sets' shingles."""
     counts = np.zeros(BUCKETS, np.int32)
     for s in slices(batches):
         sets = [_set(s.text(i)) for i in range(len(s))]
         for h in sets:
             np.add.at(counts, (h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        yield rows(_NEAR, s.ids, s.batch.column(2), np.array([majority(h) for h in sets], np.uint64).view(np.int64), [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [part_keys(h) for h in sets], pa.nulls(len(s), pa.binary()))
-    yield rows(_NEAR, *([None] for _ in range(5)), [counts.tobytes()])
+        yield rows(_NEAR, s.ids, s.batch.column(2), np.array([majority(h) for h in sets], np.uint64).view(np.int64), [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [part_keys(h) for h in sets], [len(h) for h in sets], [parity(h).tobytes() for h in sets], pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.binary()))
+    part = counts.reshape(PIECES, -1)
+    yield rows(_NEAR, *(pa.nulls(PIECES, f.type) for f in list(_NEAR)[:7]), np.arange(PIECES), [c.tobytes() for c in part])
+
+
+def _sum_pieces(batches):
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[k] = total.get(k, np.int64(0)) + np.frombuffer(c, np.int32)
+    yield rows(_PIECE, list(total), [c.tobytes() for c in total.values()])
 
 
 def prefix(h: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -364,50 +395,80 @@ def _emit_candidates(batches):
         yield out(held)
 
 
+def _close_enough(batches):
+    """Pairs with both sides' sizes and bitmaps -> those that can be alike by ``NEAR``, with the bits that differ."""
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
+        (s, i), (t, j) = (raw(batch.column(c)) for c in (4, 5))
+        d = np.zeros(batch.num_rows, np.int32)
+        for r in np.flatnonzero(np.minimum(n, m) + 1e-9 >= NEAR * np.maximum(n, m)).tolist():
+            d[r] = apart(s[i[r] : i[r + 1]], t[j[r] : j[r + 1]])
+        fit = (np.minimum(n, m) + 1e-9 >= NEAR * np.maximum(n, m)) & (d * (1 + NEAR) <= (n + m) * (1 - NEAR) + 1e-9)
+        yield rows(_APART, *(batch.column(c).filter(pa.array(fit)) for c in (0, 1)), d[fit])
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, apart) of those node pairs that the bitmaps of their sets let be alike: no text is moved for the others."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+    return both.mapInArrow(_close_enough, "a long, b long, apart int")
+
+
 def _similar(batches):
+    """Rows sorted by (b, block, a): a block's first row, with a null ``a``, has the text that its others are compared with."""
+    place, own, last = None, None, None
     for batch in batches:
-        (s, i), (t, j) = (raw(batch.column(c)) for c in (2, 3))
-        alike, last, p = np.zeros(batch.num_rows, bool), None, None
-        a = batch.column(0).to_numpy()
-        for r in range(batch.num_rows):
-            if a[r] != last:
-                last, p = a[r], _set(s[i[r] : i[r + 1]].tobytes())
-            q = _set(t[j[r] : j[r + 1]].tobytes())
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            alike[r] = both >= NEAR * (len(p) + len(q) - both)
-        yield rows(_PAIRS, *(batch.column(c).filter(pa.array(alike)) for c in (0, 1)))
+        t, at = raw(batch.column(3))
+        found = []
+        for r, (b, block, a) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            if a is None:
+                if place != (b, block):
+                    place, own, last = (b, block), _set(t[at[r] : at[r + 1]].tobytes()), None
+            elif a != last:  # a repeated row is verified once
+                last, q = a, _set(t[at[r] : at[r + 1]].tobytes())
+                both = len(np.intersect1d(own, q, assume_unique=True))
+                if both >= NEAR * (len(own) + len(q) - both):
+                    found.append((a, b))
+        yield rows(_PAIRS, *(zip(*found, strict=True) if found else [[], []]))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The node pairs (a, b) whose shingle sets are alike by ``NEAR``, by the whole texts."""
-    pairs = written(pairs)
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "h"), "node"))
+    """The node pairs (a, b) whose shingle sets are alike by ``NEAR``, by the whole texts.
+
+    Texts move once: that of a to its pair's b, that of b to each block of at most about ``STAR`` pairs.
+    """
+    pairs = written(pairs.select("a", "b"))
+    blocks = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("blocks"))
+    asks = pairs.join(blocks, "b").select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), "a")
+    owns = blocks.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("a"))
     # a small table of wanted rows is broadcast, so that only their texts move
-    texts = wanted.join(docs, ["doc_id", "h"]).groupBy("node").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(_similar, "a long, b long")
+    wanted = written(asks.unionByName(owns).join(nodes.select("node", "doc_id", "h"), "node").select("doc_id", "h", "b", "block", "a"))
+    sent = wanted.join(docs, ["doc_id", "h"]).select("b", "block", "a", "text")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(n, "b", "block").sortWithinPartitions("b", "block", F.asc_nulls_first("a")).mapInArrow(_similar, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of documents that are near copies of another: five-word shingle sets alike by 0.8 or more.
 
     Documents with equal sets are one node. A first search is linear in the rows and links most copies: fingerprints at most
-    three bits apart through the Golay keys, and the least holder of each part's exact content. The second is exact: an
-    inverted index of prefixes (``prefix``) gives all pairs that can be alike by 0.8 and that the first hasn't linked.
-    Every link of either is verified by the Jaccard similarity of the whole texts' sets.
+    three bits apart through the Golay keys, and the least holder of each part's exact content; of a node's candidates there
+    the closest one is tried. The second is exact: an inverted index of prefixes (``prefix``) gives all pairs that can be
+    alike by 0.8 and that the first hasn't linked. Candidates whose bitmaps rule out 0.8 (``parity``) go; every other one
+    is verified by the Jaccard similarity of the whole texts' sets.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    found = cut(docs.mapInArrow(_near_prints, "doc_id long, h long, fp long, node binary, keys array<long>, counts binary"))
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in found.where("counts is not null").select("counts").toLocalIterator():
-        counts += np.frombuffer(r["counts"], np.int32)
+    found = written(docs.mapInArrow(_near_prints, _NEAR_FIELDS))
+    counts = np.zeros((PIECES, BUCKETS // PIECES), np.int64)
+    for r in found.where("piece is not null").select("piece", "counts").repartition(PIECES, "piece").mapInArrow(_sum_pieces, "piece int, counts binary").collect():  # of fixed size
+        counts[r["piece"]] = np.frombuffer(r["counts"], np.int64)
     # finer than a factor of two is not needed, and a byte each is sent
-    order = docs.sparkSession.sparkContext.broadcast(np.log2(counts + 1).astype(np.uint8))
-    prints = found.where("counts is null").drop("counts")
-    nodes = prints.groupBy(F.col("node").alias("set")).agg(F.min(F.struct("doc_id", "h")).alias("m"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    order = docs.sparkSession.sparkContext.broadcast(np.log2(counts.ravel() + 1).astype(np.uint8))
+    prints = found.where("piece is null").drop("piece", "counts")
+    nodes = prints.groupBy(F.col("node").alias("set")).agg(F.min(F.struct("doc_id", "h")).alias("m"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("bits").alias("bits"))
     # a number of its own for each set, and for the set the row that stands for it
-    nodes = written(nodes.select("set", F.monotonically_increasing_id().alias("node"), "m.doc_id", "m.h", "fp", "keys"))
+    nodes = written(nodes.select("set", F.monotonically_increasing_id().alias("node"), "m.doc_id", "m.h", "fp", "keys", "size", "bits"))
 
     fps = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     close = linked(fps)
@@ -416,10 +477,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
     asked = keyed.join(least, "key").where("node != b").select(F.col("node").alias("a"), "b")
-    first = cut(_verified(close.unionByName(same).unionByName(asked).distinct(), nodes, docs))
+    possible = _possible(close.unionByName(same).unionByName(asked).distinct(), nodes)
+    first = written(_verified(possible.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), nodes, docs))
 
     roots = components(first).select("node", "root")
-    placed = cut(nodes.select("node", "doc_id", "h").join(roots, "node", "left").select("node", "doc_id", "h", F.coalesce("root", "node").alias("root")))
+    placed = written(nodes.select("node", "doc_id", "h").join(roots, "node", "left").select("node", "doc_id", "h", F.coalesce("root", "node").alias("root")))
     listed = docs.mapInArrow(_emit_prefixes(order), "doc_id long, h long, size int, low int, keys array<long>").dropDuplicates(["doc_id", "h"])
     listed = listed.join(placed, ["doc_id", "h"])
     # a key has at most as many holders as its bucket: only the last ones of a list can be hot
@@ -434,7 +496,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     index = index.repartition(n, "key").sortWithinPartitions("key", "size")
     pairs = index.mapInArrow(_emit_candidates, "a long, b long").distinct()
-    near = cut(first.unionByName(_verified(pairs, nodes, docs)))
+    near = first.unionByName(_verified(_possible(pairs, nodes), nodes, docs))
 
     roots = components(near)
     placed = nodes.join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("root"), "doc_id")
