@@ -1,11 +1,13 @@
 """Context-triggered piecewise hashing.
 
-A hash of the last ``CONTEXT`` bytes ends a chunk wherever it has ``k`` trailing zero bits, so block sizes 2**k nest.
-A chunk's own hash gives one character of the signature. The block size is the largest that still gives ``LEAST``
+A hash of the last ``CONTEXT`` bytes triggers the end of a chunk wherever it has ``k`` trailing zero bits, so block sizes
+2**k nest. A chunk's own hash gives one character of the signature. The block size is the largest that still gives ``LEAST``
 characters; the fingerprint holds the signatures at it and at twice it (``k:signature:signature``). Two fingerprints
 are compared where a block size is common, by edit distance (insertions and deletions) over the summed lengths.
 
-Signatures are not cut at a fixed length: a chunk count above ``2 * LEAST`` raises the block size instead.
+A trigger counts from a quarter of the block size after the last one, and in no less than 1 / (8 LEAST) of the text: random
+texts have fewer triggers than that anyway, and a text of one letter or a short period, where every place or none triggers,
+still gets a signature of at most 8 * LEAST + 1 characters.
 
 Edge cases: null text is empty; the empty text's fingerprint is ``0::``; equal fingerprints compare as 1, and two
 without a common block size or with an empty signature otherwise as 0; rows with one ``doc_id`` are ordered by text;
@@ -15,6 +17,8 @@ a null ``doc_id`` is ordered last; an empty table gives no rows; further columns
 from __future__ import annotations
 
 import hashlib
+import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +44,27 @@ def fingerprint(text: bytes) -> str:
     h = _CONTEXT_HASH.windows(_CONTEXT_HASH.prefix(data), CONTEXT)
     # chunk ends (exclusive) that any block size of at least 1 can use, with the number of trailing zeros
     zeros = np.bitwise_count((h & (~h + np.uint64(1))) - np.uint64(1)) if len(h) else np.empty(0, np.uint8)
-    counts = np.cumsum(np.bincount(zeros, minlength=66)[::-1])[::-1]  # boundaries at k or more
-    enough = np.flatnonzero(counts + 1 >= LEAST)
-    k = int(enough[-1]) if len(enough) else 0
     prefix = _CHUNK_HASH.prefix(data)
 
-    def signature(k: int) -> str:
-        ends = np.flatnonzero(zeros >= k) + CONTEXT
-        if not len(ends) or ends[-1] != n:
-            ends = np.append(ends, n)
-        starts = np.concatenate([[0], ends[:-1]])
-        return _ALPHABET[_CHUNK_HASH.of(prefix, starts, ends) >> np.uint64(58)].tobytes().decode()
+    def ends(k: int) -> list[int]:
+        least = max((1 << k) // 4, n // (8 * LEAST), 1)
+        triggers = (np.flatnonzero(zeros >= k) + CONTEXT).tolist()
+        found, i = [], bisect_left(triggers, least)
+        while i < len(triggers):
+            found.append(triggers[i])
+            i = bisect_left(triggers, triggers[i] + least, i + 1)
+        if not found or found[-1] != n:
+            found.append(n)
+        return found
 
-    return f"{k}:{signature(k)}:{signature(k + 1)}"
+    def signature(at: list[int]) -> str:
+        at = np.array(at)
+        return _ALPHABET[_CHUNK_HASH.of(prefix, np.concatenate([[0], at[:-1]]), at) >> np.uint64(58)].tobytes().decode()
+
+    k, larger = max(0, (n // LEAST).bit_length()), None
+    while len(own := ends(k)) < LEAST and k:
+        k, larger = k - 1, own
+    return f"{k}:{signature(own)}:{signature(ends(k + 1) if larger is None else larger)}"
 
 
 def _common(a: str, b: str) -> int:
@@ -115,31 +127,41 @@ def _compare(batches):
         yield rows(_ARROW, *(zip(*out, strict=True) if out else [[]] * len(_ARROW)))
 
 
+def _bucket(order, bounds: list[int]):
+    """Number of ``bounds`` (descending) above ``order``, looked up in two steps: blocks of bounds first, then one block's."""
+    side = max(1, math.isqrt(len(bounds)))
+    blocks = [bounds[a : a + side] for a in range(0, len(bounds), side)]
+    above = lambda held: F.size(F.filter(held, lambda b: b > order))
+    whole = above(F.array(*(F.lit(x[-1]).cast("long") for x in blocks)))  # blocks that lie above as a whole
+    rest = F.get(F.array(*(F.array(*(F.lit(b).cast("long") for b in x)) for x in blocks)), whole)
+    return whole * side + F.coalesce(above(rest), F.lit(0))
+
+
 def neighbours(docs: DataFrame, buckets: int) -> DataFrame:
     """Every document with the next one by descending doc_id, fingerprinted and compared. One range shuffle of the texts.
 
     Buckets are ranges of doc_id, with bounds from quantiles (their number is bounded by ``buckets``). The next of a
     bucket's last document is the first one of the following bucket that has rows: it is sent to both.
     """
+    spark = docs.sparkSession
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("order"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     bounds = sorted({int(x) for x in keyed.where("doc_id is not null").select(F.col("doc_id")).approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}, reverse=True) if buckets > 1 else []
-    bucket = F.lit(0)
-    if bounds:
-        # number of bounds above the row: buckets run in descending order of doc_id
-        bucket = F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b > F.col("order")))
-    keyed = keyed.withColumn("bucket", bucket)
+    # buckets run in descending order of doc_id
+    keyed = keyed.withColumn("bucket", _bucket(F.col("order"), bounds) if bounds else F.lit(0))
     first = {r["bucket"]: r["top"] for r in keyed.groupBy("bucket").agg(F.max("order").alias("top")).collect()}  # one row a bucket
     if not first:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
+        return spark.createDataFrame([], SCHEMA)
     used = sorted(first)
-    before = {first[b]: used[i - 1] for i, b in enumerate(used)}  # of the first bucket: the last one
-    guest = F.create_map(*[x for top, b in before.items() for x in (F.lit(top).cast("long"), F.lit(b))])[F.col("order")]
-    sent = keyed.select("*", F.explode(F.when(guest.isNull(), F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guest")), F.struct(guest.alias("to"), F.lit(True).alias("guest"))))).alias("x"))
+    # the first documents of buckets also go to the bucket before; of the first bucket: to the last one
+    before = spark.createDataFrame([(first[b], used[i - 1]) for i, b in enumerate(used)], "order long, guest int")
+    own = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guest"))
+    sent = keyed.join(F.broadcast(before), "order", "left").select("doc_id", "text", "order", F.explode(F.when(F.col("guest").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("guest").alias("to"), F.lit(True).alias("guest"))))).alias("x"))
     sent = sent.select(F.col("x.to").alias("to"), F.col("x.guest").alias("guest"), "doc_id", "text", "order")
-    dealt = sent.repartition(max(used) + 1, "to").sortWithinPartitions("to", "guest", F.desc("order"), "text")
+    parts = min(max(used) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = sent.repartition(parts, "to").sortWithinPartitions("to", "guest", F.desc("order"), "text")
     return dealt.select("to", "guest", "doc_id", "text").mapInArrow(_compare, SCHEMA)
 
 
 def op8_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return neighbours(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return neighbours(docs, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))  # more than tasks, so that these even out

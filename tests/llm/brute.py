@@ -127,3 +127,26 @@ def kneser_ney(classes, discount):
         return logs
 
     return lambda text: [likelihood(text, c) for c in range(len(classes))]
+
+
+def piecewise(text, least, context, hashes):
+    """The fingerprint of op8, place by place; ``hashes`` gives the module's hash of a run of bytes, for triggers and for chunks."""
+    n, alphabet = len(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    if not n:
+        return "0::"
+    trigger, chunk = hashes
+
+    def signature(k):
+        out, start = "", 0
+        for end in range(context, n + 1):
+            h = trigger(text[end - context : end])
+            far = end - start >= max(2**k // 4, n // (8 * least), 1)
+            if far and h % 2**k == 0:
+                out += alphabet[chunk(text[start:end]) >> 58]
+                start = end
+        return out + alphabet[chunk(text[start:]) >> 58] * (start < n)
+
+    k = (n // least).bit_length()
+    while k and len(signature(k)) < least:
+        k -= 1
+    return f"{k}:{signature(k)}:{signature(k + 1)}"
