@@ -1,11 +1,11 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are hashed n-grams of 1 to 3 code points of the text (ASCII lower-cased, each non-letter run one space), in
-``FEATURES`` slots. A text's term frequencies are divided by its number of n-grams and weighted by inverse document
+Features are hashed n-grams of 1 to 3 code points of the text (letters of the basic plane in lower case, with their
+combining marks; each run of other characters one space), in ``FEATURES`` slots. A text's term frequencies are divided by its number of n-grams and weighted by inverse document
 frequency, so a logit is a mean over its n-grams and whole texts of any length are scored in one pass.
 
 Training is follow-the-regularised-leader (per-coordinate rates, L1 and L2 penalties) over a bounded sample of labelled
-rows (``SAMPLE`` with the least hash of doc_id, a documented bound), then one temperature is fitted on a part of the
+rows (of ``SAMPLE`` documents with the least hash of doc_id, as far as ``SAMPLE_BYTES`` reach), then one temperature is fitted on a part of the
 sample that training has not seen. The model (weights of FEATURES x languages) has a fixed bound on its size.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; rows with null lang are never learned from;
@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import mix, rows, slices
-from .tables import table
+from .tables import sample, table
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
-#: Labelled rows that the classifier learns from, whole; rows of more than LONGEST bytes are not among them.
-SAMPLE = 2000
-LONGEST = 1 << 20
+#: Labelled rows that the classifier learns from, whole, and about how many bytes of them.
+SAMPLE, SAMPLE_BYTES = 2000, 32 << 20
+#: Code points whose n-grams are weighed at once.
+PART = 1 << 18
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 EPOCHS, BATCH = 3, 32
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -49,6 +50,11 @@ def _letters() -> np.ndarray:
 _FOLD: list[np.ndarray] = []
 
 
+def lettered(text: bytes) -> bool:
+    """A letter is anywhere in the text; marks and digits alone are none."""
+    return any(map(str.isalpha, text.decode("utf-8", "replace")))
+
+
 def symbols(text: bytes) -> np.ndarray:
     """Folded code points, with one space at either end and for each run of other characters."""
     if not _FOLD:
@@ -60,13 +66,15 @@ def symbols(text: bytes) -> np.ndarray:
     return s[np.concatenate([[True], (s[1:] != 32) | (s[:-1] != 32)])]
 
 
-def grams(s: np.ndarray) -> np.ndarray:
-    """Hashed features of all n-grams of the folded text, repeats included."""
+def grams(s: np.ndarray, start: int = 0, most: int | None = None) -> np.ndarray:
+    """Hashed features of the n-grams of the folded text that begin at ``start`` or one of ``most`` places from it, repeats included."""
+    most = len(s) - start if most is None else most
+    s = s[start : start + most + max(ORDERS) - 1]
     out, key = [], np.zeros(len(s), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         key = (key[: len(s) - n + 1] << np.uint64(21)) | s[n - 1 :].astype(np.uint64)
         if n in ORDERS:
-            out.append((mix(key + np.uint64(n)) >> np.uint64(48)) % np.uint64(FEATURES))
+            out.append((mix(key[:most] + np.uint64(n)) >> np.uint64(48)) % np.uint64(FEATURES))
     return np.concatenate(out).astype(np.int64)
 
 
@@ -76,14 +84,19 @@ class Model:
     def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float):
         self.languages, self.weights, self.bias, self.temperature = languages, weights, bias, temperature
 
-    def logits(self, features: np.ndarray) -> np.ndarray:
-        return self.weights[features].sum(0, dtype=np.float64) / len(features) + self.bias
+    def logits(self, s: np.ndarray) -> np.ndarray:
+        """Of a folded text, part by part: a text's n-grams are many times its bytes."""
+        total, n = np.zeros(len(self.languages)), 0
+        for a in range(0, len(s), PART):
+            features = grams(s, a, PART)
+            total += self.weights[features].sum(0, dtype=np.float64)
+            n += len(features)
+        return total / n + self.bias
 
     def predict(self, text: bytes) -> tuple[str, float]:
-        s = symbols(text)
-        if len(s) < 2 or not self.languages:
+        if not self.languages or not lettered(text):
             return "und", 0.0
-        z = self.logits(grams(s)) / self.temperature
+        z = self.logits(symbols(text)) / self.temperature
         p = np.exp(z - z.max())
         k = int(np.argmax(p))
         return self.languages[k], float(p[k] / p.sum())
@@ -141,13 +154,6 @@ def train(examples: list[tuple[bytes, str]]) -> Model:
     return Model(languages, (w * idf[:, None] * 20).astype(np.float32), wb, temperature)
 
 
-def sample(docs: DataFrame, label: str, most: int) -> list:
-    """Rows (text, label) with the least hash of doc_id: a top-k report of bounded size, the same for every partitioning."""
-    usable = docs.where(F.col(label).isNotNull() & (F.octet_length("text") <= LONGEST) & F.col("doc_id").isNotNull())
-    keys = usable.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most).select("doc_id").distinct()
-    return usable.join(F.broadcast(keys), "doc_id").orderBy("doc_id", "text").limit(most).select("text", label).collect()
-
-
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text, with ``held_out`` passed through."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias, model.temperature))
@@ -164,6 +170,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def op4_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
-    learned = sample(docs.where(~held), "lang", SAMPLE)
+    usable = docs.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    learned = sample(usable, usable, SAMPLE, SAMPLE_BYTES, "lang")
     model = train([(r["text"].encode(), r["lang"]) for r in learned])
     return identify(docs.select("doc_id", "text", held.alias("held_out")), model)

@@ -7,7 +7,7 @@ is in the head.
 
 The model (``attention``) learns from all training documents; its ids are those of a public tokenizer, applied to the
 lower-cased text. Slots and shares come from the corpus' counts of ids, which are those of its words. Parameters start from
-the ``SAMPLE`` documents of least hash of doc_id with at most ``LONGEST`` bytes; then each task learns on from there, over
+the ``SAMPLE`` documents of least hash of doc_id, as far as ``SAMPLE_BYTES`` reach; then each task learns on from there, over
 all training documents it holds, and the tasks' parameters are averaged by their positions. So scores depend on how the
 table is split into tasks, in the last digits of a learned model.
 
@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from . import attention
 from .arrays import binary, lower, raw, rows, slices
 from .packing import WordIds, shared_ids, tokenizer_path
-from .tables import table, written
+from .tables import sample, table, written
 
-HEAD = 1 << 17
-SAMPLE = 600
-LONGEST = 1 << 20
+#: Words of the head, and a word's bytes there at most: longer ones are joined with the tail.
+HEAD, HEAD_WORD = 1 << 17, 64
+#: Documents that the parameters start from, and about how many bytes of them.
+SAMPLE, SAMPLE_BYTES = 600, 16 << 20
 #: Distinct words that a task counts before it sends them on.
 MEMO = 1 << 18
 _COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -132,9 +133,7 @@ def learned(training: DataFrame, counted: DataFrame, ends: int, path: str) -> at
     count = np.zeros(n_ids, np.int64)
     for r in counted.mapInArrow(_id_counts(path, n_ids), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most as many as the tokenizer has
         count[r["id"]] = r["n"]
-    short = training.where(F.octet_length("text") <= LONGEST)
-    keys = short.select("doc_id", F.xxhash64("doc_id").alias("k")).distinct().orderBy("k", "doc_id").limit(SAMPLE).select("doc_id")
-    texts = [lower(np.frombuffer(r["text"].encode(), np.uint8)).tobytes() for r in short.join(F.broadcast(keys), "doc_id").orderBy("doc_id", "text").limit(SAMPLE).select("text").collect()]
+    texts = [lower(np.frombuffer(r["text"].encode(), np.uint8)).tobytes() for r in sample(training, training, SAMPLE, SAMPLE_BYTES)] if SAMPLE else []
     model = attention.train(words.texts(texts), n_ids, model=attention.initial(count, ends))
     shared = training.sparkSession.sparkContext.broadcast((model.slot, model.within, model.p))
     # one row of fixed size for each task, read one at a time
@@ -209,7 +208,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     table_ = written(counts(training))
     distinct, total = table_.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct, total = distinct + (ends > 0), total + ends
-    head = {bytes(r["word"]): r["n"] for r in table_.orderBy(F.desc("n"), "word").limit(HEAD).toLocalIterator()}
+    head = {bytes(r["word"]): r["n"] for r in table_.where(F.octet_length("word") <= HEAD_WORD).orderBy(F.desc("n"), "word").limit(HEAD).toLocalIterator()}
     model = learned(training, table_, ends, path)
     sent, shared = spark.sparkContext.broadcast(head), spark.sparkContext.broadcast((model.slot, model.within, model.p))
     both = written(docs.mapInArrow(_scan(sent, shared, path, total, distinct, ends), _BOTH_SCHEMA))

@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import SLICE_BYTES, Hasher, lower, rows, slices
-from .tables import table
+from .tables import sample, table
 
 #: Labelled rows of each class that are learned from, whole, and about how many bytes of them.
 SAMPLE, SAMPLE_BYTES = 1500, 32 << 20
@@ -189,12 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     found = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     got = {}
     for label in (1, 0):
-        keys = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id")
-        texts = docs.where("text is not null").join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-        order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # of at most SAMPLE rows
-        before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        texts = texts.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < SAMPLE_BYTES)
-        got[label] = [r["text"].encode() for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").collect()]
+        got[label] = [r["text"].encode() for r in sample(docs, known.where(F.col("toxic") == label), SAMPLE, SAMPLE_BYTES)]
     return train(got[1], got[0], found.get(1, 0) / max(1, sum(found.values())))
 
 
