@@ -4,7 +4,8 @@ A document's ids (public tokenizer, then id 2) are cut at ``WINDOW``: whole wind
 smallest tier that holds it. Each tier packs its own pieces best fit into sequences of its size; the longest tier's
 gaps, then those of each shorter tier in turn, are filled from the tiers below, cutting a piece where it does not fit. Only the last few
 sequences of a task can stay short; they are cut into power-of-two lengths, so that next to nothing is padding.
-Sequences of a tier are dealt to step groups so that groups carry near-equal ids.
+Step groups hold sequences of one tier and carry equal ids whatever the tier: ``STEP`` sequences of ``WINDOW`` ids, or as many
+more as they are shorter. Of a task's last sequences of a tier fewer than half a group are spread evenly over its others.
 
 No shuffle is needed: each input task packs its own rows and numbers its sequences from ``partition << 33``.
 What a task holds is bounded: gaps are filled and finished sequences leave after every slice of text.
@@ -32,7 +33,7 @@ TIERS = (256, 1024, WINDOW)
 END_ID = 2
 #: Sequences of a tier that may stay open in a task; beyond it they are filled up and leave.
 OPEN = 64
-#: Sequences of a step group.
+#: Sequences of a step group, of the longest tier.
 STEP = 64
 #: Signs that end a word and are pieces of their own behind a letter or digit; the apostrophe is not, as it can join letters.
 _TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -203,27 +204,38 @@ def _pack(path: str):
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         words, packer, number = shared_ids(path), Packer(), 0
         live: dict[int, list] = {}  # key -> [doc_id, ids, ids still unplaced]
-        groups: dict[int, int] = {}
+        groups: dict[int, int] = {}  # tier -> full ones
+        waiting: dict[int, list[list[tuple]]] = {}  # tier -> rows of sequences whose group isn't full
         count = 0
 
-        def finished():
+        def finished(last: bool = False):
             nonlocal number
-            out = [[] for _ in _ARROW]
-            sequences = packer.take()
-            for tier, held in sequences:
-                at = 0
-                k = groups[tier] = groups.get(tier, -1) + 1
+            out: list[tuple] = []
+
+            def deal(tier: int, sequences: list[list[tuple]], first: int, over: int) -> None:
+                for i, held in enumerate(sequences):
+                    group = (base + first + i % over) * 64 + tier.bit_length()
+                    out.extend((*r, group) for r in held)
+
+            for tier, held in packer.take():
+                at, found = 0, []
                 for key, start, n in held:
                     doc_id, ids, _ = entry = live[key]
                     entry[2] -= n
-                    values = (doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), base + number, at, sum(p[2] for p in held), tier, (base + (k // STEP)) * 64 + tier.bit_length())
-                    for column, v in zip(out, values, strict=True):
-                        column.append(v)
+                    found.append((doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), base + number, at, sum(p[2] for p in held), tier))
                     at += n
                     if not entry[2]:
                         del live[key]
                 number += 1
-            return rows(_ARROW, *out)
+                waiting.setdefault(tier, []).append(found)
+                if len(waiting[tier]) == STEP * WINDOW // tier:
+                    deal(tier, waiting.pop(tier), groups.get(tier, 0), 1)
+                    groups[tier] = groups.get(tier, 0) + 1
+            for tier, sequences in waiting.items() if last else ():
+                full = groups.get(tier, 0)
+                few = 2 * len(sequences) < STEP * WINDOW // tier and full
+                deal(tier, sequences, 0 if few else full, full if few else 1)
+            return rows(_ARROW, *(zip(*out, strict=True) if out else [[]] * len(_ARROW)))
 
         for s in slices(batches):
             for doc_id, ids in zip(s.ids.to_pylist(), words.texts([s.text(i) for i in range(len(s))]), strict=True):
@@ -234,7 +246,7 @@ def _pack(path: str):
                 count += 1
             yield finished()
         packer.close()
-        yield finished()
+        yield finished(last=True)
 
     return run
 

@@ -239,6 +239,22 @@ def test_packing(spark, sf_dir, documents, odd, none):
     assert packing.pack(none, packing.tokenizer_path()).collect() == []
 
 
+def test_step_groups_carry_near_equal_ids(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(packing, "STEP", 2)
+    docs = table(spark, sf_dir).coalesce(1)
+    rows = packing._pack(packing.tokenizer_path())(iter(docs.select("doc_id", "text").toArrow().to_batches()))
+    found = [r for batch in rows for r in batch.to_pylist()]
+    ids, tiers = Counter(), {}
+    for r in found:
+        ids[r["step_group"]] += r["length"]
+        assert tiers.setdefault(r["step_group"], r["tier"]) == r["tier"]
+    full = 2 * packing.WINDOW
+    for tier in set(tiers.values()):
+        sizes = [ids[g] for g, t in tiers.items() if t == tier]
+        assert all(full <= n <= 1.5 * full for n in sizes if len(sizes) > 1 and n != min(sizes)) and (len(sizes) == 1 or min(sizes) >= full / 2)
+    assert len(ids) > 3
+
+
 def test_word_ids_are_the_tokenizers():
     rng = random.Random(1)
     signs = "abzABZéÉßİΣςσ’'s't.,$%&*#()-_…—²½9 0\n\t\x0b\x85 \x01́ñÑ<|endoftext|>漢字🙂"
