@@ -23,6 +23,8 @@ rows; further columns are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,6 +38,8 @@ SHINGLE = 3
 BITS = 3
 SEED = 42
 FULL = 4096
+#: Links that a task of the component rounds holds at least, but for the last one.
+LINKS = 200_000
 #: Shingles whose bits are counted at once.
 _PART = 1 << 14
 #: Fixed value: the generator polynomial of the binary Golay code.
@@ -217,16 +221,18 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
+        found = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        if found == mark or not found[0]:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        # few links are shuffled from few tasks: each one leaves a file for every shuffle
+        mark, tasks = found, -(-found[0] // LINKS)
+        now = now.coalesce(tasks)
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").coalesce(tasks).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").distinct()
-        now = cut(small)
-        found = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if found == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = found
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").coalesce(tasks).distinct()
+        now = cut(small.coalesce(tasks))
 
 
 def linked(prints: DataFrame) -> DataFrame:
@@ -256,10 +262,12 @@ BUCKETS, PIECES = 1 << 18, 16
 HOT = 2048
 #: Texts that are verified against one other text in one place.
 STAR = 256
-_NEAR_FIELDS = "doc_id long, h long, fp long, node binary, keys array<long>, size int, bits binary, piece int, counts binary"
-_NEAR = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("size", pa.int32()), ("bits", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
+#: Words of 64 bits to which bitmaps are folded beside the keys.
+SMALL = 16
+_NEAR_FIELDS = "doc_id long, h long, fp long, node binary, keys array<long>, size int, bits binary, small binary, piece int, counts binary"
+_NEAR = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("size", pa.int32()), ("bits", pa.binary()), ("small", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
 _PIECE = pa.schema([("piece", pa.int32()), ("counts", pa.binary())])
-_PREFIX = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("size", pa.int32()), ("low", pa.int32()), ("keys", pa.list_(pa.int64()))])
+_PREFIX = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _APART = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int32())])
 
@@ -290,11 +298,12 @@ def _set(text: bytes) -> np.ndarray:
 
 
 def parity(h: np.ndarray) -> np.ndarray:
-    """Bitmap of about two bits a shingle; a bit is the parity of how many shingles of the set fall on it.
+    """Bitmap of two to eight bits a shingle; a bit is the parity of how many shingles of the set fall on it.
 
     Of two sets' bitmaps at most as many bits differ as there are shingles in only one of them: a bound that loses no pair.
     """
-    n = 1 << max(6, int(2 * len(h) - 1).bit_length() if len(h) else 6)
+    each = 4 if len(h) <= 16 * SMALL else 2
+    n = 1 << max(7, (each * len(h) - 1).bit_length() if len(h) else 7)
     return np.packbits(np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1, bitorder="little")
 
 
@@ -306,6 +315,11 @@ def apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """A bitmap of at most ``SMALL`` words."""
+    return bits if len(bits) <= 8 * SMALL else np.bitwise_xor.reduce(bits.reshape(-1, 8 * SMALL), axis=0)
+
+
 def _near_prints(batches):
     """A row for each document, and ``PIECES`` for the task with the bucket counts of its sets' shingles."""
     counts = np.zeros(BUCKETS, np.int32)
@@ -313,16 +327,17 @@ def _near_prints(batches):
         sets = [_set(s.text(i)) for i in range(len(s))]
         for h in sets:
             np.add.at(counts, (h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        yield rows(_NEAR, s.ids, s.batch.column(2), np.array([majority(h) for h in sets], np.uint64).view(np.int64), [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [part_keys(h) for h in sets], [len(h) for h in sets], [parity(h).tobytes() for h in sets], pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.binary()))
+        bits = [parity(h) for h in sets]
+        yield rows(_NEAR, s.ids, s.batch.column(2), np.array([majority(h) for h in sets], np.uint64).view(np.int64), [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [part_keys(h) for h in sets], [len(h) for h in sets], [p.tobytes() for p in bits], [folded(p).tobytes() if len(p) > 8 * SMALL else None for p in bits], pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.binary()))
     part = counts.reshape(PIECES, -1)
-    yield rows(_NEAR, *(pa.nulls(PIECES, f.type) for f in list(_NEAR)[:7]), np.arange(PIECES), [c.tobytes() for c in part])
+    yield rows(_NEAR, *(pa.nulls(PIECES, f.type) for f in list(_NEAR)[:8]), np.arange(PIECES), [zlib.compress(c.tobytes(), 1) for c in part])
 
 
 def _sum_pieces(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total[k] = total.get(k, np.int64(0)) + np.frombuffer(c, np.int32)
+            total[k] = total.get(k, np.int64(0)) + np.frombuffer(zlib.decompress(c), np.int32)
     yield rows(_PIECE, list(total), [c.tobytes() for c in total.values()])
 
 
@@ -338,61 +353,126 @@ def prefix(h: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _emit_prefixes(order):
-    least = int(np.log2(HOT + 1))  # of the buckets that can hold a hot key
 
     def run(batches):
         rank = order.value
         for s in slices(batches):
             sets = [_set(s.text(i)) for i in range(len(s))]
             first = [prefix(h, rank) for h in sets]
-            low = [int((rank[(f & np.uint64(BUCKETS - 1)).astype(np.int64)] < least).sum()) for f in first]
-            yield rows(_PREFIX, s.ids, s.batch.column(2), [len(h) for h in sets], low, [f.view(np.int64) for f in first])
+            yield rows(_PREFIX, s.ids, s.batch.column(2), [len(h) for h in sets], [f.view(np.int64) for f in first])
 
     return run
 
 
-def candidates(key: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, block: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Node pairs of each key group (rows sorted by key and size) that sizes and places let be alike by ``NEAR``.
+class Small:
+    """Folded bitmaps of rows, as words, and once more folded to half their length: sets that can be alike differ by one halving at most."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        self.length = np.diff(offs) // 8
+        self.full, self.half = (np.zeros((len(self.length), SMALL), np.uint64) for _ in range(2))
+        words = data[offs[0] : offs[-1]].copy().view(np.uint64)
+        start = (offs[:-1] - offs[0]) // 8
+        for n in np.unique(self.length).tolist():
+            at = np.flatnonzero(self.length == n)
+            own = words[start[at][:, None] + np.arange(n)]
+            self.full[at, :n] = own
+            self.half[at, : n // 2] = own[:, : n // 2] ^ own[:, n // 2 :]
+
+    def take(self, rows) -> Small:
+        new = object.__new__(Small)
+        new.length, new.full, new.half = self.length[rows], self.full[rows], self.half[rows]
+        return new
+
+    @staticmethod
+    def join(parts: list[Small]) -> Small:
+        new = object.__new__(Small)
+        new.length, new.full, new.half = (np.concatenate([getattr(p, n) for p in parts]) for n in ("length", "full", "half"))
+        return new
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits that differ; 0 where lengths are too far apart to tell."""
+        m, n = self.length[i], self.length[j]
+        x = np.where((m > n)[:, None], self.half[i], self.full[i])
+        y = np.where((n > m)[:, None], self.half[j], self.full[j])
+        d = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        return np.where((m > 2 * n) | (n > 2 * m), 0, d)
+
+
+def candidates(key: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, block: np.ndarray, node: np.ndarray, small: Small, forest: bool) -> np.ndarray:
+    """Node pairs of each key group (rows sorted by key and size) that sizes, places and bitmaps let be alike by ``NEAR``.
 
     ``at`` is the key's place in the set's order: at most min(at) shingles before it and as many as the smaller rest after it
     are common. Nodes of one root are linked already. Rows of a hot key carry a pair of blocks in the key, and ``block`` is
-    their own one, or -1 where all pairs of the group are compared.
+    their own one, or -1 where all pairs of the group are compared. With ``forest`` a group gives only as many pairs as
+    join its roots, the closest first.
     """
-    out, i, d = [np.empty((0, 2), np.int64)], np.arange(len(key)), 1
+    found, i, d = [np.empty((0, 3), np.int64)], np.arange(len(key)), 1
     while len(i):
         i = i[i + d < len(key)]
         i = i[key[i] == key[i + d]]
         i = i[size[i + d] * NEAR <= size[i] + 1e-9]  # sizes only grow with d
         j = i + d
         most = np.minimum(at[i], at[j]) + np.minimum(size[i] - at[i], size[j] - at[j])
-        ok = (root[i] != root[j]) & (most * (1 + NEAR) + 1e-9 >= NEAR * (size[i].astype(np.int64) + size[j])) & ((block[i] < 0) | (block[i] != block[j]))
-        if ok.any():
-            x, y = node[i[ok]], node[j[ok]]
-            out.append(np.stack([np.maximum(x, y), np.minimum(x, y)], 1))
+        total = size[i].astype(np.int64) + size[j]
+        ok = (root[i] != root[j]) & (most * (1 + NEAR) + 1e-9 >= NEAR * total) & ((block[i] < 0) | (block[i] != block[j]))
+        p, q, total = i[ok], j[ok], total[ok]
+        if len(p):
+            bits = small.apart(p, q)
+            fit = bits * (1 + NEAR) <= total * (1 - NEAR) + 1e-9
+            found.append(np.stack([bits[fit], p[fit], q[fit]], 1))
         d += 1
-    return np.unique(np.concatenate(out), axis=0)
-
-
-def _emit_candidates(batches):
+    found = np.concatenate(found)
+    if forest:
+        found = found[_forest(found, key, root)]
+    x, y = node[found[:, 1]], node[found[:, 2]]
+    return np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], 1), axis=0)
+
+
+def _forest(found: np.ndarray, key: np.ndarray, root: np.ndarray) -> list[int]:
+    """Numbers of the pairs (bits apart, row, row) that join roots of a key group which closer pairs haven't joined."""
+    up: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def top(x):
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    kept = []
+    for n in np.argsort(found[:, 0], kind="stable").tolist():
+        _, i, j = found[n].tolist()
+        k = int(key[i])
+        a, b = top((k, int(root[i]))), top((k, int(root[j])))
+        if a != b:
+            up[a] = b
+            kept.append(n)
+    return kept
+
+
+def _emit_candidates(forest: bool):
     """Rows sorted by key and size; a key's rows can cross batches."""
-    held: list[list[np.ndarray]] = []
 
-    def out(parts):
-        pairs = candidates(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        return rows(_PAIRS, pairs[:, 0], pairs[:, 1])
+    def run(batches):
+        held: list[tuple[list[np.ndarray], Small]] = []
+
+        def out(parts):
+            pairs = candidates(*(np.concatenate(x) for x in zip(*(c for c, _ in parts), strict=True)), Small.join([x for _, x in parts]), forest)
+            return rows(_PAIRS, pairs[:, 0], pairs[:, 1])
+
+        for batch in batches:
+            columns = [batch.column(i).to_numpy() for i in range(6)]
+            key = columns[0]
+            if not len(key):
+                continue
+            small = Small(*raw(batch.column(6)))
+            end = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0  # the last key may go on
+            if end or held and held[0][0][0][0] != key[0]:
+                yield out([*held, ([c[:end] for c in columns], small.take(slice(0, end)))])
+                held = []
+            held.append(([c[end:] for c in columns], small.take(slice(end, None))))
+        if held:
+            yield out(held)
 
-    for batch in batches:
-        columns = [batch.column(i).to_numpy() for i in range(6)]
-        key = columns[0]
-        if not len(key):
-            continue
-        end = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0  # the last key may go on
-        if end or held and held[0][0][0] != key[0]:
-            yield out([*held, [c[:end] for c in columns]])
-            held = []
-        held.append([c[end:] for c in columns])
-    if held:
-        yield out(held)
+    return run
 
 
 def _close_enough(batches):
@@ -448,6 +528,24 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return sent.repartition(n, "b", "block").sortWithinPartitions("b", "block", F.asc_nulls_first("a")).mapInArrow(_similar, "a long, b long")
 
 
+def _mixed(entries: DataFrame) -> DataFrame:
+    """(key, blocks) of the keys in ``entries`` whose holders aren't all of one root."""
+    keys = entries.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"))
+    return keys.where("x != y").select("key", F.ceil(F.col("n") / HOT).cast("int").alias("blocks"))
+
+
+def _candidates(index: DataFrame, roots: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
+    """Distinct node pairs (a, b) of ``index`` (key, node, size, at) that can be alike and whose ``roots`` (node, root) differ."""
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    index = index.join(_mixed(index), "key").join(nodes.select("node", F.coalesce("small", "bits").alias("small")), "node")
+    index = index.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    index = index.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    index = index.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(pair).alias("key"), "size", "at", "root", F.when((F.col("own") == F.col("other")) | (F.col("blocks") == 1), F.lit(-1)).otherwise(F.col("own")).cast("int").alias("block"), "node", "small")
+    return index.repartition(n, "key").sortWithinPartitions("key", "size").mapInArrow(_emit_candidates(forest), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of documents that are near copies of another: five-word shingle sets alike by 0.8 or more.
 
@@ -466,9 +564,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # finer than a factor of two is not needed, and a byte each is sent
     order = docs.sparkSession.sparkContext.broadcast(np.log2(counts.ravel() + 1).astype(np.uint8))
     prints = found.where("piece is null").drop("piece", "counts")
-    nodes = prints.groupBy(F.col("node").alias("set")).agg(F.min(F.struct("doc_id", "h")).alias("m"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    nodes = prints.groupBy(F.col("node").alias("set")).agg(F.min(F.struct("doc_id", "h")).alias("m"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("small").alias("small"))
     # a number of its own for each set, and for the set the row that stands for it
-    nodes = written(nodes.select("set", F.monotonically_increasing_id().alias("node"), "m.doc_id", "m.h", "fp", "keys", "size", "bits"))
+    nodes = written(nodes.select("set", F.monotonically_increasing_id().alias("node"), "m.doc_id", "m.h", "fp", "keys", "size", "bits", "small"))
 
     fps = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     close = linked(fps)
@@ -480,25 +578,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     possible = _possible(close.unionByName(same).unionByName(asked).distinct(), nodes)
     first = written(_verified(possible.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), nodes, docs))
 
-    roots = components(first).select("node", "root")
-    placed = written(nodes.select("node", "doc_id", "h").join(roots, "node", "left").select("node", "doc_id", "h", F.coalesce("root", "node").alias("root")))
-    listed = docs.mapInArrow(_emit_prefixes(order), "doc_id long, h long, size int, low int, keys array<long>").dropDuplicates(["doc_id", "h"])
-    listed = listed.join(placed, ["doc_id", "h"])
-    # a key has at most as many holders as its bucket: only the last ones of a list can be hot
-    hot = listed.select(F.explode(F.slice("keys", F.col("low") + 1, F.size("keys"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = written(hot.where(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("blocks")))
-    index = listed.select("node", "root", "size", F.posexplode("keys").alias("at", "key"))
-    index = index.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    index = index.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    index = index.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(pair).alias("key"), "size", "at", "root", F.when(F.col("own") == F.col("other"), F.lit(-1)).when(F.col("blocks") == 1, F.lit(-1)).otherwise(F.col("own")).cast("int").alias("block"), "node")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index = index.repartition(n, "key").sortWithinPartitions("key", "size")
-    pairs = index.mapInArrow(_emit_candidates, "a long, b long").distinct()
-    near = first.unionByName(_verified(_possible(pairs, nodes), nodes, docs))
-
-    roots = components(near)
+    listed = docs.mapInArrow(_emit_prefixes(order), "doc_id long, h long, size int, keys array<long>").join(nodes.select("node", "doc_id", "h"), ["doc_id", "h"]).dropDuplicates(["node"])
+    roots = components(first)
+    listed = written(listed.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "keys"))
+    entries = listed.select("node", "root", "size", F.posexplode("keys").alias("at", "key"))
+    mixed = written(_mixed(entries).select("key"))  # as its size is known then, it is broadcast where small
+    index = written(entries.drop("root").join(mixed, "key"))
+    forest = written(_verified(_possible(_candidates(index, roots, nodes, True), nodes), nodes, docs))
+    star = lambda found: found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(star(roots).unionByName(forest))
+    rest = _verified(_possible(_candidates(index, roots, nodes, False), nodes), nodes, docs)
+
+    roots = components(star(roots).unionByName(rest))
     placed = nodes.join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("root"), "doc_id")
     named = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return prints.select("doc_id", F.col("node").alias("set")).join(placed.select("set", "root"), "set").join(named, "root").select("doc_id", "component_id")
