@@ -21,6 +21,9 @@ labelled row every score is 0.0; empty tables give no rows; further columns are
 
 from __future__ import annotations
 
+import pickle
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -86,8 +89,15 @@ class Model:
     def __init__(self, words, band, p, weight, pairs, q, curve=None, bias: float = 0.0, power: float = 1.0):
         self.words, self.band, self.p, self.weight, self.pairs, self.q, self.curve, self.bias, self.power = words, band, p, weight, pairs, q, curve, bias, power
 
-    def state(self) -> tuple:
-        return self.words, self.band, self.p, self.weight, self.pairs, self.q, self.curve, self.bias, self.power
+    def packed(self) -> bytes:
+        """To be sent: sorted numbers as differences, all compressed."""
+        state = np.diff(self.words, prepend=np.uint64(0)), self.band.astype(np.int8), self.p, self.weight, np.diff(self.pairs, prepend=0), self.q, self.curve, self.bias, self.power
+        return zlib.compress(pickle.dumps(state), 1)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Model:
+        words, band, p, weight, pairs, *rest = pickle.loads(zlib.decompress(data))
+        return cls(np.cumsum(words), band, p, weight, np.cumsum(pairs), *rest)
 
     def places(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of each token and of the one before it, and each text's first token."""
@@ -198,11 +208,11 @@ def held_out():
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model and model.state())
+    shared = docs.sparkSession.sparkContext.broadcast(model and model.packed())
 
     def run(batches):
         x = shared.value
-        m = x and Model(*x)
+        m = x and Model.unpacked(x)
         for s in slices(batches):
             p = m.score(s.data, s.offs) if m else np.zeros(len(s))
             yield rows(_ARROW, s.ids, s.batch.column(2), p, (p >= 0.5).astype(np.int32))
@@ -215,10 +225,10 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = learn(docs, labels)
     if model is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model.state())
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
 
     def run(batches):
-        m = Model(*shared.value)
+        m = Model.unpacked(shared.value)
         for s in slices(batches):
             yield s.batch.filter(pa.array(m.score(s.data, s.offs) < 0.5))
 
