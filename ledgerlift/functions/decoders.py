@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..layout import Item, Picture, Usage
 from . import codepages
 
-# The characters of trailing overpunches, by digit.
+# The zoned sign characters of positive and negative numbers, by their last digit.
 POSITIVE, NEGATIVE = "{ABCDEFGHI", "}JKLMNOPQR"
 #: Whitespace as a record field can hold it, for regular expressions.
 BLANK = r"[\x09-\x0D\x1C-\x20\x85\xA0]"
@@ -64,7 +64,7 @@ def ascii_zone(raw: Column) -> Column:
 
 
 def punched(char: Column) -> tuple[Column, Column]:
-    """(sign, digit) of an overpunch character; sign NULL for others. A bare + or - has the empty digit."""
+    """(sign, digit) of a zoned sign character; sign NULL for others. A bare + or - has the empty digit."""
     up, down = F.instr(F.lit(POSITIVE), char), F.instr(F.lit(NEGATIVE), char)
     one = F.length(char) == 1
     sign = F.when(one & ((down > 0) | (char == "-")), -1).when(one & ((up > 0) | (char == "+")), 1)

@@ -31,7 +31,7 @@ def ascii_zoned(number: Column, width: int) -> Column:
 
 
 def punched_text(number: Column, width: int) -> Column:
-    """Digits whose last one is an overpunch character."""
+    """Digits whose last one is a zoned sign character."""
     d = digits(number, width)
     last = F.right(d, F.lit(1))
     return F.concat(F.substr(d, F.lit(1), F.lit(width - 1)), F.when(number < 0, F.translate(last, "0123456789", NEGATIVE)).otherwise(F.translate(last, "0123456789", POSITIVE)))

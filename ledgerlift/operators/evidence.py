@@ -13,6 +13,8 @@ from ..layout import Item, Usage
 
 #: Fixed value: characters that count as legible.
 LEGIBLE = "A-Za-z0-9 .,\\-/()"
+#: Fixed value: characters that a text may hold to look right as a branch's field.
+TEXT = LEGIBLE + "&'"
 #: Pages that a file may be in, and records that legibility and dates are judged by.
 PAGES, SAMPLE = ("cp037", "cp500", "cp1047", "cp1140", "latin-1"), 2000
 
@@ -31,7 +33,7 @@ def looks_right(item: Item, page: str):
     t = codepages.text(raw(item), page)
     if item.numeric and item.usage is Usage.DISPLAY:
         return (F.substr(t, F.lit(1), F.length(t) - 1) if item.picture.signed else t).rlike("^[0-9]+$")
-    return t.rlike(f"^[{LEGIBLE}]*$") if item.picture is not None and not item.numeric else F.lit(True)
+    return t.rlike(f"^[{TEXT}]*$") if item.picture is not None and not item.numeric else F.lit(True)
 
 
 def branch_fit(records: DataFrame, discriminator: Item, values: list[str], branches: dict[str, list[Item]], page: str) -> DataFrame:

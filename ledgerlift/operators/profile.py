@@ -69,11 +69,18 @@ def _byte(raw: Column, i: int) -> Column:
 
 
 def _set(value: Column, keep: Column) -> Column:
-    return F.size(F.collect_set(F.when(keep, value)))
+    """How many of the 256 byte values occur: four 64-bit maps, which unlike sets are summed up in generated code."""
+    seen = lambda q: F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.when(keep & (F.shiftright(value, 6) == q), value.bitwiseAND(63))))
+    return sum((F.coalesce(F.bit_count(seen(q)), F.lit(0)) for q in range(1, 4)), F.coalesce(F.bit_count(seen(0)), F.lit(0)))
+
+
+def _some(b: Column, size: int) -> Column:
+    """Any byte isn't zero."""
+    return b != F.lit(bytes(size))
 
 
 def _float(item: Item, b: Column, reading: Reading) -> dict[str, Column]:
-    some = F.length(F.regexp_replace(F.hex(b), "0", "")) > 0
+    some = _some(b, item.size())
     v = decoders.float_value(b, item.size(), reading.floats)
     return {
         "float_nonzero": F.count_if(some), "float_unnormalised": F.count_if(decoders.unnormalised(b)),
@@ -84,7 +91,7 @@ def _float(item: Item, b: Column, reading: Reading) -> dict[str, Column]:
 
 def _binary(item: Item, b: Column, reading: Reading) -> dict[str, Column]:
     pic = item.picture
-    some = F.length(F.regexp_replace(F.hex(b), "0", "")) > 0
+    some = _some(b, item.size())
     v = decoders.binary(b, pic.signed, item.size(), reading.order)
     size = F.abs(v)
     return {
@@ -119,6 +126,27 @@ def zoned_parts(item: Item, b: Column, text: Column, reading: Reading) -> dict[s
     return found
 
 
+def plain_digits(item: Item, page: str) -> bool:
+    """Whether most values of a field are digit bytes with a sign zone on the last one at most, and fit a long."""
+    chars = codepages.decoded(page)
+    usual = chars is not None and chars[0xF0:0xFA] == "0123456789" and not any(c.isdigit() for c in chars[0xC0:0xCA] + chars[0xD0:0xDA])
+    return usual and item.numeric and item.usage is Usage.DISPLAY and not item.leading and not item.separate and item.size() == item.total() <= 18
+
+
+def _plain(item: Item, n: Column, z: Column, slow: dict[str, Column]) -> dict[str, Column]:
+    """``slow``, the aggregates of values for which ``n`` is NULL, with those of plain digits: their number and last zone (C, D or F)."""
+    signed = F.when(z == "D", -n).otherwise(n)
+    scale = F.lit(10**item.picture.scale)
+    exact = lambda name, value: (F.coalesce(F.sum(value.cast("decimal(18,0)")), F.lit(0)) / scale).cast(f"decimal(38,{item.picture.scale})") + F.coalesce(slow[name], F.lit(0))
+    found = slow | {
+        "nondigit_last": slow["nondigit_last"] + F.count_if(z.isin("C", "D")), "negative": slow["negative"] + F.count_if(z == "D"), "positive": slow["positive"] + F.count_if(z == "C"),
+        "all_zero": slow["all_zero"] + F.count_if(n == 0), "widest": F.greatest(F.coalesce(slow["widest"], F.lit(0)), F.coalesce(F.max(F.when(n == 0, 0).otherwise(F.length(n.cast("string")))), F.lit(0))),
+        "total": exact("total", signed if item.picture.signed else n), "total_abs": exact("total_abs", n),
+        "total_naive": F.coalesce(F.sum(F.when(z == "F", n).otherwise(F.floor(n / 10)).cast("decimal(18,0)")), F.lit(0)) + F.coalesce(slow["total_naive"], F.lit(0)),
+    }
+    return found | ({"total_forced": exact("total_forced", signed)} if "total_forced" in slow else {})
+
+
 def _display(b: Column, text: Column, c: dict[str, Column]) -> dict[str, Column]:
     sign, v = c["sign"], c["v"]
     found = {
@@ -185,20 +213,31 @@ def scan(records: DataFrame, layout: Layout, reading: Reading = Reading()) -> di
     items, stats = layout.fields(), {}
     for a in range(0, len(items), CHUNK):
         part = items[a : a + CHUNK]
-        # texts and zoned parts are computed once, in projections of their own: several aggregates read them
+        # texts and zoned parts are computed once, in projections of their own: several aggregates read them. Those of plain
+        # digits, which are most values, come from their number alone
+        plain = {k for k, i in enumerate(part) if plain_digits(i, reading.page)}
         slices = records.select(*(raw(i).alias(f"b{k}") for k, i in enumerate(part)))
-        slices = slices.select("*", *(codepages.text(F.col(f"b{k}"), reading.page).alias(f"t{k}") for k, i in enumerate(part) if not i.usage.floating))
+        slices = slices.select("*", *(F.hex(f"b{k}").alias(f"h{k}") for k in plain))
+        slices = slices.select("*", *(F.when(F.col(f"h{k}").rlike("^(F[0-9])*[CDF][0-9]$") & (F.octet_length(f"b{k}") == part[k].size()), F.translate(f"h{k}", "CDF", "").cast("long")).alias(f"n{k}") for k in plain))
+        slices = slices.select("*", *(F.when(F.col(f"n{k}").isNotNull(), F.substring(f"h{k}", -2, 1)).alias(f"z{k}") for k in plain))
+        odd = lambda k, c: F.when(F.col(f"n{k}").isNull(), c) if k in plain else c
+        slices = slices.select("*", *(odd(k, codepages.text(F.col(f"b{k}"), reading.page)).alias(f"t{k}") for k, i in enumerate(part) if not i.usage.floating))
         parts = {k: zoned_parts(i, F.col(f"b{k}"), F.col(f"t{k}"), reading) for k, i in enumerate(part) if i.numeric and i.usage is Usage.DISPLAY}
-        slices = slices.select("*", *(c.alias(f"{n}{k}") for k, p in parts.items() for n, c in p.items()))
+        slices = slices.select("*", *(odd(k, c).alias(f"{n}{k}") for k, p in parts.items() for n, c in p.items()))
         here = {k: {n: F.col(f"{n}{k}") for n in p} for k, p in parts.items()}
-        wanted = {(k, n): c.alias(f"{n}{k}") for k, i in enumerate(part) for n, c in aggregates(i, reading, F.col(f"b{k}"), None if i.usage.floating else F.col(f"t{k}"), here.get(k)).items()}
+        wanted = {}
+        for k, i in enumerate(part):
+            own = F.when(F.col(f"n{k}").isNull(), F.col(f"b{k}")) if k in plain else F.col(f"b{k}")
+            found = aggregates(i, reading, own, None if i.usage.floating else F.col(f"t{k}"), here.get(k))
+            found = _plain(i, F.col(f"n{k}"), F.col(f"z{k}"), found) if k in plain else found
+            wanted |= {(k, n): c.alias(f"{n}{k}") for n, c in found.items()}
         row = slices.agg(*wanted.values()).first()
         for k, item in enumerate(part):
             got = {n: row[f"{n}{k}"] for (j, n) in wanted if j == k}
             stats[item.key] = FieldStats(**{n: (v if n.startswith("total") else int(v)) for n, v in got.items() if v is not None and n in _NAMES})
     listed = [i for i in items if not i.usage.floating and (not i.numeric or _coded(i))]
     if listed:
-        counted = values(records, listed, reading)
+        counted = values(records, listed, reading).persist()
         for r in counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect():
             stats[r["key"]].distinct = r["n"]
         for key, top in _ranked(counted.where(F.col("key").isin([i.key for i in listed if i.filler])), 3).items():
@@ -212,6 +251,7 @@ def scan(records: DataFrame, layout: Layout, reading: Reading = Reading()) -> di
                 stats[r["key"]].uncovered = r["n"]
             for key, top in _ranked(left, TOP).items():
                 stats[key].uncovered_top = top
+        counted.unpersist()
     for item in items:
         if stats[item.key].unknown_sign:
             b = raw(item)
