@@ -9,12 +9,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch of texts, on either side of a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def _bound(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _bound(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def folder(spark: SparkSession) -> str:
     """The shared checkpoint folder that the session names. Only a local session without one gets a temporary folder."""
+    _bound(spark)
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not spark.sparkContext.master.startswith("local"):
