@@ -9,10 +9,6 @@ class LayoutError(ValueError):
     """A record description contradicts itself."""
 
 
-class DecodeError(ValueError):
-    """Bytes that aren't a value of their field's encoding."""
-
-
 class LayoutMismatch(Exception):
     """The record length doesn't explain the file; ``notes`` are leads."""
 

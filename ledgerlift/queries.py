@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copybook
+from . import copybook, planted
 from .functions import decoders, encoders
 from .functions.decoders import Reading
 from .layout import Layout
@@ -188,7 +188,8 @@ def key_uniqueness(spark, sf_dir):
     one = _records(_table(spark, sf_dir, "orders"), encoders.zoned(F.col("o_orderkey"), 9, sign=False), F.lit(b"\xf0\xf0"))
     two = _records(_table(spark, sf_dir, "lineitem"), encoders.zoned(F.col("l_orderkey"), 9, sign=False), encoders.zoned(F.col("l_linenumber"), 2, sign=False))
     items = [layout.find("K"), layout.find("N")]
-    rows = [(name, *(evidence.key_counts(df, items, "cp037")[k] for k in ("records", "distinct", "blank"))) for name, df in (("lineitem", two), ("orders", one))]
+    counts = {name: evidence.key_counts(df, items, "cp037") for name, df in (("lineitem", two), ("orders", one))}
+    rows = [(name, *(c[k] for k in ("records", "distinct", "blank"))) for name, c in counts.items()]
     return spark.createDataFrame(rows, "name string, records long, distinct_keys long, blank long")
 
 
@@ -241,9 +242,9 @@ def occurs_flatten(spark, sf_dir):
 
 
 def redefines_branch(spark, sf_dir):
-    layout = copybook.parse("01 R.\n 05 KIND PIC X.\n 05 BODY PIC X(9).\n 05 NUM REDEFINES BODY.\n  10 A PIC 9(09).\n 05 TXT REDEFINES BODY.\n  10 B PIC X(09).")
+    layout = copybook.parse("01 R.\n 05 KIND PIC X.\n 05 BODY PIC X(15).\n 05 NUM REDEFINES BODY.\n  10 A PIC 9(15).\n 05 TXT REDEFINES BODY.\n  10 B PIC X(15).")
     status = F.col("o_orderstatus")
-    body = F.when(status == "F", encoders.zoned(F.col("o_orderkey"), 9, sign=False)).otherwise(encoders.page_bytes(F.rpad(F.substring("o_orderpriority", 1, 9), 9, " "), "cp037"))
+    body = F.when(status == "F", encoders.zoned(F.col("o_orderkey"), 15, sign=False)).otherwise(encoders.page_bytes(F.rpad("o_orderpriority", 15, " "), "cp037"))
     df = _records(_table(spark, sf_dir, "orders"), encoders.page_bytes(status, "cp037"), body, keep=("o_orderkey",))
     got = nested.branches(df, layout, "KIND", {"F": "NUM", "O": "TXT"}, keep=("o_orderkey",))
     return got.select("o_orderkey", F.col("NUM.A").cast("long").alias("number"), F.rtrim("TXT.B").alias("words"))
@@ -278,7 +279,7 @@ def metamorphic_double(spark, sf_dir):
 
 
 _ZONED = "cast(round(c_acctbal * 100) as bigint)"
-QUERIES = {
+QUERIES = planted.QUERIES | {
     "zoned_roundtrip_acctbal": _balance("PIC S9(08)V99", lambda v: encoders.zoned(v, 10)),
     "zoned_sign_totals": zoned_sign_totals,
     "zoned_naive_total": zoned_naive_total,
@@ -314,7 +315,7 @@ QUERIES = {
     "proposer_scores": proposer_scores,
     "metamorphic_double": metamorphic_double,
 }
-ORACLE_SQL = {
+ORACLE_SQL = planted.ORACLE_SQL | {
     "zoned_roundtrip_acctbal": _BALANCE_SQL,
     "zoned_sign_totals": f"select count(*) filter (c_acctbal < 0) as negatives, cast(sum({_ZONED}) as bigint) as cents, cast(sum(abs({_ZONED})) as bigint) as cents_abs from customer",
     "zoned_naive_total": f"select cast(sum(abs({_ZONED}) // 10) as bigint) as naive from customer",
@@ -343,7 +344,7 @@ ORACLE_SQL = {
     "encoding_legibility": "select cast(sum(length(regexp_replace(p_name[1:12], '[^A-Za-z0-9 .,\\-/()]', '', 'g'))) as bigint) as legible, cast(sum(length(p_name[1:12])) as bigint) as chars from part",
     "occurs_child_rows": "select s_suppkey, n as occurrence, cast(round(s_acctbal * 100) as bigint) * n as cents, 'ABC'[n] as flag from supplier, range(1, 4) r(n)",
     "occurs_flatten": "with v as (select s_suppkey, cast(round(s_acctbal * 100) as bigint) as c from supplier) select s_suppkey, c as cents_1, 2 * c as cents_2, 3 * c as cents_3 from v",
-    "redefines_branch": "select o_orderkey, case when o_orderstatus = 'F' then o_orderkey end as number, case when o_orderstatus = 'O' then rtrim(o_orderpriority[1:9]) end as words from orders",
+    "redefines_branch": "select o_orderkey, case when o_orderstatus = 'F' then o_orderkey end as number, case when o_orderstatus = 'O' then rtrim(o_orderpriority) end as words from orders",
     "divisors": "with s as (select count(*) * 57 as size from customer) select n as length from s, range(2, 8193) r(n) where n <= size and size % n = 0",
     "findings_summary": "select 'critical' as severity, 1::bigint as n union all select 'warn', 1 + (select (max(length(cast(c_custkey as varchar))) < 9)::bigint from customer)",
     "decoded_customer": f"select c_custkey as k, {_ZONED} as cents, rtrim(c_mktsegment[1:10]) as segment from customer",
