@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once. A single longer text is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 #: Odd, so that its powers have inverses modulo 2**64.
 _R = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)

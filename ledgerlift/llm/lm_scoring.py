@@ -5,10 +5,10 @@ frequent words, a fixed number, are sent to all tasks; all other words are joine
 each task and word with all documents that hold it, so no word's rows meet in one place: a word of a third of all rows
 is in the head.
 
-The model (``attention``) learns from all training documents; its ids are those of a public tokenizer, applied to the
-lower-cased text. Slots and shares come from the corpus' counts of ids, which are those of its words. Parameters start from
+The model (``attention``) learns from the training documents; its ids are those of a public tokenizer, applied to the
+lower-cased text. Slots, shares and first biases come from the counts of ids in all of them, which are those of its words. Parameters start from
 the ``SAMPLE`` documents of least hash of doc_id, as far as ``SAMPLE_BYTES`` reach; then each task learns on from there, over
-all training documents it holds, and the tasks' parameters are averaged by their positions. So scores depend on how the
+one in ``SHARE`` of the training documents it holds, and the tasks' parameters are averaged by their positions. So scores depend on how the
 table is split into tasks, in the last digits of a learned model.
 
 Edge cases: null and empty texts are the end token alone; rows with a null doc_id are left out, as their parts can't be
@@ -34,8 +34,10 @@ from .tables import sample, table, written
 HEAD, HEAD_WORD = 1 << 17, 64
 #: Documents that the parameters start from, and about how many bytes of them.
 SAMPLE, SAMPLE_BYTES = 600, 16 << 20
-#: Distinct words that a task counts before it sends them on.
-MEMO = 1 << 18
+#: One training document of so many, by a hash of doc_id, moves the parameters: as many more as the corpus is larger.
+SHARE = 16
+#: Distinct words that a task counts before it sends them on, and whose ids it remembers.
+MEMO, MEMO_IDS = 1 << 18, 1 << 19
 _COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 _IDS = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 _LEARNED = pa.schema([("n", pa.int64()), ("p", pa.binary())])
@@ -102,7 +104,7 @@ def _id_counts(path: str, n_ids: int):
     """Counted words -> counted ids of their tokens, once for each task."""
 
     def run(batches):
-        total, ids = np.zeros(n_ids, np.int64), shared_ids(path, MEMO)
+        total, ids = np.zeros(n_ids, np.int64), shared_ids(path, MEMO_IDS)
         for batch in batches:
             words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for a in range(0, len(words), 1 << 14):
@@ -115,10 +117,10 @@ def _id_counts(path: str, n_ids: int):
 
 
 def _learn(model, path: str):
-    """All training documents of a task -> its parameters and the positions that they were learned from."""
+    """Training documents of a task -> its parameters and the positions that they were learned from."""
 
     def run(batches):
-        learner, ids = attention.Learner(attention.Attention(*model.value)), shared_ids(path, MEMO)
+        learner, ids = attention.Learner(attention.Attention(*model.value)), shared_ids(path, MEMO_IDS)
         for s in slices(batches):
             learner.add(ids.split(_words(s)))
         yield rows(_LEARNED, [learner.n], [attention.to_bytes(learner.p)])
@@ -137,7 +139,8 @@ def learned(training: DataFrame, counted: DataFrame, ends: int, path: str) -> at
     model = attention.train(words.texts(texts), n_ids, model=attention.initial(count, ends))
     shared = training.sparkSession.sparkContext.broadcast((model.slot, model.within, model.p))
     # one row of fixed size for each task, read one at a time
-    found = written(training.select("doc_id", "text").mapInArrow(_learn(shared, path), "n long, p binary"))
+    part = training.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("learn")), F.lit(SHARE)) == 0)
+    found = written(part.select("doc_id", "text").mapInArrow(_learn(shared, path), "n long, p binary"))
     total, mean = 0, np.zeros(sum(v.size for v in model.p.values()))
     for r in found.where("n > 0").toLocalIterator():
         total += r["n"]
@@ -174,7 +177,7 @@ def _scan(head, model, path: str, total: int, distinct: int, ends: int):
     def run(batches):
         logs = {w: float(base_log(c, total, distinct)) for w, c in head.value.items()}
         end = float(base_log(ends, total, distinct))
-        m, ids, tail = attention.Attention(*model.value), shared_ids(path, MEMO), _Tail()
+        m, ids, tail = attention.Attention(*model.value), shared_ids(path, MEMO_IDS), _Tail()
 
         def tails():
             words, docs, n = tail.take()

@@ -26,7 +26,7 @@ WINDOW = 100
 #: Bytes of the grams whose least hash marks a window.
 GRAM = 20
 #: Bytes of pieces that one index holds, but for pieces of one mark.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
