@@ -394,7 +394,6 @@ def test_attention_learns_from_documents_outside_the_sample(documents, monkeypat
 
     def scores(rows, sample):
         monkeypatch.setattr(lm_scoring, "SAMPLE", sample)
-        monkeypatch.setattr(lm_scoring, "SHARE", 1)
         return {r["doc_id"]: r["score"] for r in lm_scoring.score(documents(rows), packing.tokenizer_path()).collect()}
 
     alone = scores(pairs + more[-2:], 3)
