@@ -9,7 +9,8 @@ import sys
 from pathlib import Path
 
 from . import copybook
-from .errors import CopybookError, CriticalFindings, LayoutMismatch, PlanError, ProposerError, VisionError
+from .errors import CopybookError, CriticalFindings, LayoutError, LayoutMismatch, PlanError, ProposerError, VariableRecordError, VisionError
+from .functions import codepages
 from .functions.decoders import Reading
 from .operators import extract, profile, rules
 from .plans import adjudicate, plan, render, resolve, scoring, vision
@@ -33,6 +34,8 @@ def _records(a, layout):
 
 
 def _reading(a) -> Reading:
+    if not codepages.known(a.encoding):
+        raise LayoutError(f"no code page {a.encoding}")
     return Reading(a.encoding, a.float_format, a.binary_byteorder)
 
 
@@ -208,7 +211,7 @@ def main(args: list[str] | None = None) -> int:
     a = _parser().parse_args(args)
     try:
         return a.run(a)
-    except (LayoutMismatch, CopybookError) as e:
+    except (LayoutMismatch, VariableRecordError, CopybookError, LayoutError, FileNotFoundError, PermissionError) as e:
         print(e, file=sys.stderr)
         return 2
     except (PlanError, VisionError) as e:

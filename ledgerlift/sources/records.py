@@ -9,6 +9,7 @@ Paths with a scheme (hdfs:, s3a:, viewfs: and so on) hold fixed records only and
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +27,6 @@ SCHEMA = "rec_no bigint, rec binary"
 _ARROW = pa.schema([("rec_no", pa.int64()), ("rec", pa.binary())])
 #: Bytes of a partition, and records of an Arrow batch.
 PARTITION_BYTES, BATCH = 32 << 20, 1 << 14
-#: Records after which detection gives up on a chain.
-CHAIN_RECORDS = 5_000_000
 
 
 def _words(path: str) -> Iterator[tuple[int, bytes]]:
@@ -40,14 +39,14 @@ def _words(path: str) -> Iterator[tuple[int, bytes]]:
             f.seek(at)
 
 
-def chain_fits(path: str, strict: bool = True, most: int = CHAIN_RECORDS) -> bool:
-    """The descriptor words lead to the file's last byte exactly; ``strict`` wants their reserved bytes zero."""
+def chain_fits(path: str, strict: bool = True) -> bool:
+    """The descriptor words lead to the file's last byte exactly, however many; ``strict`` wants their reserved bytes zero."""
     size, end = os.path.getsize(path), 0
     if size < 4:
         return False
-    for n, (at, word) in enumerate(_words(path)):
+    for at, word in _words(path):
         length = int.from_bytes(word[:2], "big")
-        if n >= most or len(word) < 4 or length < 4 or at + length > size or strict and any(word[2:]):
+        if len(word) < 4 or length < 4 or at + length > size or strict and any(word[2:]):
             return False
         end = at + length
     return end == size
@@ -57,7 +56,7 @@ def detect_recfm(path: str, record_length: int) -> str:
     """``fixed`` where the length divides the size; else ``vb`` where a descriptor chain explains every byte; else ``fixed``."""
     if record_length > 0 and os.path.getsize(path) % record_length == 0:
         return "fixed"
-    return "vb" if chain_fits(path, True) or chain_fits(path, False) else "fixed"
+    return "vb" if chain_fits(path, strict=False) else "fixed"
 
 
 def divisors(size: int, low: int = 2, high: int = 8192) -> list[int]:
@@ -106,6 +105,26 @@ def check_size(path: str, record_length: int, recfm: str) -> str:
     return recfm
 
 
+def chain_ranges(path: str, record_length: int, partition_bytes: int = PARTITION_BYTES, limit: int | None = None) -> list[tuple[int, int, int]]:
+    """(offset, first record, records) of byte ranges along a VB file's chain; a broken chain is refused."""
+    size, found, n, start, first = os.path.getsize(path), [], 0, 0, 0
+    for at, word in _words(path):
+        if limit is not None and n >= limit:
+            break
+        if len(word) < 4:
+            raise LayoutMismatch(size, record_length, len(word), mismatch_notes(size, record_length, path))
+        length = int.from_bytes(word[:2], "big")
+        if length < 4:
+            raise VariableRecordError(f"at byte {at}: {word.hex()} is no record descriptor word. The file isn't RECFM=VB, or a length before it was wrong.")
+        if at + length > size:
+            raise VariableRecordError(f"at byte {at}: the record descriptor word wants {length - 4} bytes, and {size - at - 4} are left")
+        if at - start >= partition_bytes:
+            found.append((start, first, n - first))
+            start, first = at, n
+        n += 1
+    return [*found, (start, first, n - first)]
+
+
 @dataclass
 class Range(InputPartition):
     offset: int
@@ -120,34 +139,17 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.length = options["path"], int(options["recordlength"])
         self.limit = int(options["limit"]) if "limit" in options else None
+        self.found = json.loads(options["ranges"]) if "ranges" in options else None
         self.recfm = check_size(self.path, self.length, options.get("recfm", "auto"))
         self.bytes = int(options.get("partitionbytes", PARTITION_BYTES))
 
     def partitions(self) -> list[Range]:
         size = os.path.getsize(self.path)
-        if self.recfm == "fixed":
-            total = size // self.length if self.limit is None else min(self.limit, size // self.length)
-            step = max(1, self.bytes // self.length)
-            return [Range(n * self.length, n, min(step, total - n)) for n in range(0, total, step)] or [Range(0, 0, 0)]
-        found, n, start, first = [], 0, 0, 0
-        for at, word in _words(self.path):
-            if self.limit is not None and n >= self.limit:
-                break
-            self._check(at, word, size)
-            if at - start >= self.bytes:
-                found.append(Range(start, first, n - first))
-                start, first = at, n
-            n += 1
-        return [*found, Range(start, first, n - first)]
-
-    def _check(self, at: int, word: bytes, size: int) -> None:
-        if len(word) < 4:
-            raise LayoutMismatch(size, self.length, len(word), mismatch_notes(size, self.length, self.path))
-        length = int.from_bytes(word[:2], "big")
-        if length < 4:
-            raise VariableRecordError(f"at byte {at}: {word.hex()} is no record descriptor word. The file isn't RECFM=VB, or a length before it was wrong.")
-        if at + length > size:
-            raise VariableRecordError(f"at byte {at}: the record descriptor word wants {length - 4} bytes, and {size - at - 4} are left")
+        if self.recfm == "vb":
+            return [Range(*r) for r in self.found or chain_ranges(self.path, self.length, self.bytes, self.limit)]
+        total = size // self.length if self.limit is None else min(self.limit, size // self.length)
+        step = max(1, self.bytes // self.length)
+        return [Range(n * self.length, n, min(step, total - n)) for n in range(0, total, step)] or [Range(0, 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         with open(self.path, "rb") as f:
@@ -183,9 +185,11 @@ def read_records(spark: SparkSession, path: str, record_length: int, recfm: str
     if "://" in path or path.startswith("viewfs:"):
         return _hadoop(spark, path, record_length, limit)
     path = path.removeprefix("file:")
-    check_size(path, record_length, recfm)
+    recfm = check_size(path, record_length, recfm)
     spark.dataSource.register(RecordSource)
     reader = spark.read.format(RecordSource.name()).option("path", path).option("recordLength", record_length).option("recfm", recfm).option("partitionBytes", partition_bytes)
+    if recfm == "vb":  # walked here, so that a broken chain is refused by its own error
+        reader = reader.option("ranges", json.dumps(chain_ranges(path, record_length, partition_bytes, limit)))
     return (reader if limit is None else reader.option("limit", limit)).load()
 
 

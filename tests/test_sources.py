@@ -1,6 +1,6 @@
 import pytest
 
-from ledgerlift import copybook
+from ledgerlift import cli, copybook
 from ledgerlift.errors import LayoutMismatch, VariableRecordError
 from ledgerlift.sources import detect_recfm, divisors, head_note, mismatch_notes, partial_view_note, read_records
 from ledgerlift.streaming import stream_decoded
@@ -41,11 +41,27 @@ def test_variable_records(spark, file):
 
 
 def test_broken_chains(spark, file):
-    with pytest.raises(Exception, match="descriptor"):
-        read_records(spark, file(b"\0\2\0\0abc"), 3, recfm="vb").count()
-    with pytest.raises(Exception, match="left"):
-        read_records(spark, file(b"\0\x20\0\0abc"), 3, recfm="vb").count()
-    assert issubclass(VariableRecordError, Exception)
+    with pytest.raises(VariableRecordError, match="descriptor"):
+        read_records(spark, file(b"\0\2\0\0abc"), 3, recfm="vb")
+    with pytest.raises(VariableRecordError, match="left"):
+        read_records(spark, file(b"\0\x20\0\0abc"), 3, recfm="vb")
+    with pytest.raises(LayoutMismatch):
+        read_records(spark, file(vb([b"ab"]) + b"\0"), 3, recfm="vb")
+
+
+def test_the_command_line_refuses_without_a_traceback(spark, file, tmp_path, capsys):
+    book = tmp_path / "r.cpy"
+    book.write_text("       01 R.\n           05 T PIC X(3).\n")
+    broken = file(b"\0\x20\0\0abc")
+    for args in (["scan", str(book), broken, "--recfm", "vb"], ["scan", str(book), str(tmp_path / "none")], ["scan", str(tmp_path / "none.cpy"), broken], ["scan", str(book), file(b"abc"), "--encoding", "cp9999"]):
+        assert cli.main(args) == 2 and capsys.readouterr().err.strip()
+
+
+def test_a_chain_of_any_length_is_detected(file):
+    import numpy as np
+
+    one = np.frombuffer(vb([b"x"]), np.uint8)
+    assert detect_recfm(file(np.tile(one, 5_000_003).tobytes()), 7) == "vb"
 
 
 def test_refusal_and_leads(spark, file):
