@@ -40,6 +40,8 @@ SEED = 42
 FULL = 4096
 #: Links that a task of the component rounds holds at least, but for the last one.
 LINKS = 200_000
+#: A node with more than one in so many links is sent to the tasks that hold them.
+HUBS = 10_000
 #: Shingles whose bits are counted at once.
 _PART = 1 << 14
 #: Fixed value: the generator polynomial of the binary Golay code.
@@ -216,6 +218,18 @@ def _emit_links(batches):
         yield out(held)
 
 
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """(a, b, m) of ``edges`` (a, b) and ``least`` (a, m, n links of a). A node of many links doesn't meet them in one task.
+
+    The nodes with more than one in ``HUBS`` of all links are sent to every task: at most 2 * ``HUBS`` of the ``total`` links' ends.
+    """
+    least = least.withColumn("hub", F.col("n") * HUBS > total)
+    hubs = least.where("hub").select(F.col("a").alias("at"), F.col("m").alias("of"))
+    near = edges.join(F.broadcast(hubs), F.col("a") == F.col("at"), "left")
+    rest = near.where("at is null").join(least.where("not hub"), "a").select("a", "b", "m")
+    return near.where("at is not null").select("a", "b", F.col("of").alias("m")).union(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) with the least node that it is linked to. Large-star and small-star in turn."""
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -228,10 +242,10 @@ def components(edges: DataFrame) -> DataFrame:
         mark, tasks = found, -(-found[0] // LINKS)
         now = now.coalesce(tasks)
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").coalesce(tasks).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").coalesce(tasks).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_least(both.where("b > a"), least, found[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").coalesce(tasks).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, least, found[0]).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").coalesce(tasks).distinct()
         now = cut(small.coalesce(tasks))
 
 
