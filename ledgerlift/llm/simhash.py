@@ -10,8 +10,8 @@ is equal and another differs in at most one bit: keys are (that segment, fuzzy i
 last each segment has an equal half: eight tables of halves. Keys have 30 to 35 bits. Key groups are verified by
 counting bits, and each gives links to its components' least members only, so output stays linear in its rows.
 
-Equal fingerprints are one node throughout. Components come from alternating large-star and small-star rounds over the
-links, all in shuffles; no links or fingerprints reach the driver.
+Equal fingerprints are one node throughout. Components of up to ``LINKS`` links are joined in one task, those of more in
+alternating large-star and small-star rounds, all in shuffles; no links or fingerprints reach the driver.
 
 A key group is compared in full up to ``FULL`` members; a larger one is first split by equal 16-bit quarters (three
 differing bits leave one of four equal), which loses no link.
@@ -230,16 +230,42 @@ def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     return near.where("at is not null").select("a", "b", F.col("of").alias("m")).union(rest)
 
 
+def _stars(batches):
+    """All links of a task -> each node that is not its component's least one there, with that one."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for batch in batches:
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+    nodes, at = np.unique(np.concatenate(a + b), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (up := label[label])).any():
+            label = up
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    yield rows(_LINKS, nodes[moved], nodes[label[moved]])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): every node of ``edges`` (a, b) with the least node that it is linked to. Large-star and small-star in turn."""
+    """(node, root): every node of ``edges`` (a, b) with the least node that it is linked to.
+
+    Each task first joins what its own links connect; up to ``LINKS`` links are in one task, and no round is left to do. Above that,
+    large-star and small-star in turn: every round leaves plans and compiled code in the driver.
+    """
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    # few links are shuffled from few tasks: each one leaves a file for every shuffle
+    tasks = max(1, -(-now.count() // LINKS))
+    now = cut(now.coalesce(tasks).mapInArrow(_stars, "a long, b long"))
     mark = None
-    while True:
+    while tasks > 1:
         found = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if found == mark or not found[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        # few links are shuffled from few tasks: each one leaves a file for every shuffle
-        mark, tasks = found, -(-found[0] // LINKS)
+        if found == mark:
+            break
+        mark, tasks = found, max(2, -(-found[0] // LINKS))
         now = now.coalesce(tasks)
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
@@ -247,6 +273,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = _with_least(large, least, found[0]).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").coalesce(tasks).distinct()
         now = cut(small.coalesce(tasks))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def linked(prints: DataFrame) -> DataFrame:

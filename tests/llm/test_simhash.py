@@ -71,6 +71,38 @@ def test_components_of_long_chains(spark):
     assert {k: got.get(k, k) for k in range(61)} == dict.fromkeys(range(61), 0) and got[100] == got[95] == 90 and 200 not in got
 
 
+def test_components_are_the_same_in_one_task_and_in_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(rng.randint(-300, 300), rng.randint(-300, 300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(30)]
+    up = {v: v for e in edges for v in e}
+
+    def top(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    links = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    for most in (S.LINKS, 50):
+        monkeypatch.setattr(S, "LINKS", most)
+        got = dict(tuple(r) for r in S.components(links).collect())
+        assert {v: got.get(v, v) for v in up} == {v: top(v) for v in up}
+    assert S.components(links.where("a is null")).collect() == []
+
+
+def test_components_of_few_links_need_no_rounds(spark):
+    """Each round leaves plans and compiled code in the driver: a chain of 60 took eight of them."""
+    context = spark.sparkContext
+    context.setJobGroup("few links", "")
+    try:
+        S.components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")).collect()
+        assert len(context.statusTracker().getJobIdsForGroup("few links")) <= 12
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_near_duplicates(documents, spark, sf_dir):
     rng = random.Random(7)
     say = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 400)}" for _ in range(n)]
