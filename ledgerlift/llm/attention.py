@@ -12,6 +12,9 @@ once, with all its context. Since one layer reads embeddings only, queries, keys
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 
 CONTEXT, BLOCK, SIDE, WIDTH = 16, 16, 40, 32
@@ -37,19 +40,23 @@ class Attention:
         self.wc = np.concatenate([p["wc"], p["bc"][None]]).astype(np.float32)
         self.wi = np.concatenate([p["wi"], p["bi"][:, None]], 1).astype(np.float32)
 
+    def slots(self, text: np.ndarray) -> tuple[np.ndarray, float]:
+        """Slots of an id sequence, and the summed log shares of its ids."""
+        return self.slot[text].astype(np.uint16), float(self.within[text].sum())
+
     def stream(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Slots of all texts, each after its start marks; positions that predict; and the text of each."""
+        """Slots of all texts (ids, or slots where they are of 16 bits), each after its start marks; positions that predict; and the text of each."""
         lengths = np.array([len(t) for t in texts])
         at = np.concatenate([[0], np.cumsum(lengths + CONTEXT + 1)])
         x = np.full(at[-1], START, np.int32)
         for a, t in zip(at[:-1].tolist(), texts, strict=True):
-            x[a + CONTEXT + 1 : a + CONTEXT + 1 + len(t)] = self.slot[t]
+            x[a + CONTEXT + 1 : a + CONTEXT + 1 + len(t)] = t if t.dtype == np.uint16 else self.slot[t]
         text = np.repeat(np.arange(len(texts)), lengths + 1)
         first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
         return x, np.arange(len(text)) - first[text] + at[text] + CONTEXT, text
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural log probability of each id sequence and its end."""
+        """Natural log probability of each id sequence and its end; of slot sequences without their ids' shares."""
         x, where, text = self.stream(texts)
         target = np.full(len(x), END, np.int32)
         target[:-1] = np.where(x[1:] == START, END, x[1:])
@@ -57,7 +64,7 @@ class Attention:
         for a in range(0, len(x), STREAM):
             logp[a : a + STREAM] = self._chunk(x, target, a, min(len(x), a + STREAM))
         out = np.bincount(text, logp[where].astype(np.float64), minlength=len(texts))
-        return out + np.array([self.within[t].sum() for t in texts])
+        return out + np.array([0.0 if t.dtype == np.uint16 else self.within[t].sum() for t in texts])
 
     def _chunk(self, x: np.ndarray, target: np.ndarray, a: int, b: int) -> np.ndarray:
         tq, tk, tv = self.tables
@@ -103,10 +110,11 @@ def _windows(rows: np.ndarray, n: int) -> np.ndarray:
 
 def _grow(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Rows of x summed by their index."""
-    out = np.zeros((n, x.shape[1]), np.float32)
-    order = np.argsort(at, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]]))
-    out[at[order][edge]] = np.add.reduceat(x[order], edge, axis=0)
+    out = np.zeros((n, x.shape[1]), x.dtype)
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # SLOTS are fewer
+    at = at[order]
+    edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    out[at[edge]] = np.add.reduceat(x.take(order, 0), edge, axis=0)
     return out
 
 
@@ -177,6 +185,14 @@ def train(texts: list[np.ndarray], n_ids: int, rate: float = 0.01, step_blocks:
     return Attention(model.slot, model.within, model.p)
 
 
+def keep_memory() -> None:
+    """Freed arrays of up to 32 MB stay with the process, 128 MB of them: else each step asks the system for its pages anew, which takes as long as its work."""
+    with contextlib.suppress(OSError, AttributeError, TypeError):  # other C libraries do without
+        mallopt = ctypes.CDLL(None).mallopt
+        mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
+        mallopt(-1, 1 << 27)  # M_TRIM_THRESHOLD
+
+
 class Learner:
     """One pass of Adam over texts as they come, from a copy of a model's parameters; ``n`` positions so far."""
 
@@ -208,50 +224,64 @@ def from_vector(v: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 
 
 def _gradients(p: dict, windows: np.ndarray, target: np.ndarray, use: np.ndarray) -> dict:
-    """Of the mean negative log likelihood of the used positions."""
-    b = len(windows)
-    scale = np.float32(1 / np.sqrt(WIDTH))
-    e = p["emb"][windows]
-    own = e[:, CONTEXT:]
-    q, k, v = own @ p["q"], e @ p["k"], e @ p["v"]
-    w = q @ k.transpose(0, 2, 1) * scale + np.where(_SEEN, p["bias"][np.clip(_DISTANCE, 0, CONTEXT)], np.float32(-1e9))
-    w = np.exp(w - w.max(2, keepdims=True))
-    w /= w.sum(2, keepdims=True)
+    """Of the mean negative log likelihood of the used positions.
+
+    Queries, keys and values are rows of tables, and so are their gradients: they are summed by id before any matrix meets them.
+    """
+    b, emb, kind = len(windows), p["emb"], p["emb"].dtype.type
+    scale, both = kind(1 / np.sqrt(WIDTH)), p["v"] @ p["o"]
+    # a column of ones sums the weights on the way out, and takes their mean from the gradient on the way back
+    k, v = (emb @ p["k"]).take(windows, 0), np.concatenate([emb @ both, np.ones((len(emb), 1), kind)], 1).take(windows, 0)
+    own = windows[:, CONTEXT:]
+    q = (emb @ p["q"] * scale).take(own, 0)
+    w = q @ k.transpose(0, 2, 1)
+    np.clip(w, -30, 30, out=w)
+    np.exp(w, out=w)
+    w *= np.where(_SEEN, np.exp(p["bias"])[np.clip(_DISTANCE, 0, CONTEXT)], kind(0))
     c = w @ v
+    norm = 1 / c[..., WIDTH:]
+    c = c[..., :WIDTH] * norm
     used = np.flatnonzero(use.ravel())
-    h = (own + c @ p["o"]).reshape(-1, WIDTH)[used]
     y = target.ravel()[used]
-    cluster = y // SIDE
-    weight = np.float32(1 / max(1, len(used)))
-    z = h @ p["wc"] + p["bc"]
-    z = np.exp(z - z.max(1, keepdims=True))
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(len(y)), cluster] -= 1
-    z *= weight
-    g = {"wc": h.T @ z, "bc": z.sum(0), "wi": np.zeros_like(p["wi"]), "bi": np.zeros_like(p["bi"])}
-    dh = z @ p["wc"].T
-    for j in np.unique(cluster):
-        at = np.flatnonzero(cluster == j)
-        z = h[at] @ p["wi"][j] + p["bi"][j]
-        z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(at)), y[at] % SIDE] -= 1
-        z *= weight
-        g["wi"][j], g["bi"][j] = h[at].T @ z, z.sum(0)
-        dh[at] += z @ p["wi"][j].T
-    full = np.zeros((b * BLOCK, WIDTH), np.float32)
-    full[used] = dh
-    dh = full.reshape(b, BLOCK, WIDTH)
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    dc = dh @ p["o"].T
-    g["o"] = flat(c).T @ flat(dh)
-    dw = dc @ v.transpose(0, 2, 1)
-    dv = w.transpose(0, 2, 1) @ dc
-    ds = w * (dw - (dw * w).sum(2, keepdims=True))
-    g["bias"] = np.bincount(_DISTANCE[_SEEN], ds.sum(0)[_SEEN], minlength=CONTEXT + 1).astype(np.float32)
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-    g["q"], g["k"], g["v"] = flat(own).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-    de = dk @ p["k"].T + dv @ p["v"].T
-    de[:, CONTEXT:] += dh + dq @ p["q"].T
-    g["emb"] = _grow(flat(de), windows.ravel(), SLOTS)
-    return g
+    order = np.argsort((y // SIDE).astype(np.uint8), kind="stable")
+    used, y = used[order], y[order]
+    cluster, member, row = y // SIDE, y % SIDE, np.arange(len(y))
+    edge = np.searchsorted(cluster, np.arange(SIDE + 1)).tolist()
+    h = np.ones((len(used), WIDTH + 1), kind)
+    h[:, :WIDTH] = (c + emb.take(own, 0)).reshape(-1, WIDTH).take(used, 0)
+    weight = kind(1 / max(1, len(used)))
+
+    def off(z, at):
+        """Logits -> weighted probabilities less what they should be."""
+        np.minimum(z, 60, out=z)
+        np.exp(z, out=z)
+        z *= weight / z.sum(1, keepdims=True)
+        z[row[: len(z)], at] -= weight
+        return z
+
+    z = off(h @ np.concatenate([p["wc"], p["bc"][None]]), cluster)
+    outer, inner, dh = h.T @ z, np.zeros((SIDE, WIDTH + 1, SIDE), kind), z @ p["wc"].T
+    wi = np.concatenate([p["wi"], p["bi"][:, None]], 1)
+    for j in range(SIDE):
+        i, e = edge[j], edge[j + 1]
+        if i < e:
+            z = off(h[i:e] @ wi[j], member[i:e])
+            inner[j] = h[i:e].T @ z
+            dh[i:e] += z @ p["wi"][j].T
+    dqe, dkv = np.zeros((b, BLOCK, 2 * WIDTH), kind), np.empty((b, BLOCK + CONTEXT, 2 * WIDTH), kind)
+    dqe.reshape(-1, 2 * WIDTH)[used, WIDTH:] = dh
+    dc = np.empty((b, BLOCK, WIDTH + 1), kind)
+    np.multiply(dqe[..., WIDTH:], norm, out=dc[..., :WIDTH])
+    dc[..., WIDTH] = -np.einsum("bij,bij->bi", dc[..., :WIDTH], c)
+    ds = dc @ v.transpose(0, 2, 1)
+    ds *= w
+    dqe[..., :WIDTH] = ds @ k
+    dkv[..., :WIDTH] = ds.transpose(0, 2, 1) @ q
+    dkv[..., WIDTH:] = w.transpose(0, 2, 1) @ dc[..., :WIDTH]
+    gq, ge = np.split(_grow(dqe.reshape(-1, 2 * WIDTH), own.ravel(), SLOTS), 2, axis=1)
+    gk, gv = np.split(_grow(dkv.reshape(-1, 2 * WIDTH), windows.ravel(), SLOTS), 2, axis=1)
+    dv = emb.T @ gv
+    return {
+        "wc": outer[:WIDTH], "bc": outer[WIDTH], "wi": inner[:, :WIDTH], "bi": inner[:, WIDTH], "bias": np.bincount(_DISTANCE[_SEEN], ds.sum(0)[_SEEN], minlength=CONTEXT + 1).astype(kind),
+        "q": emb.T @ gq * scale, "k": emb.T @ gk, "v": dv @ p["o"].T, "o": p["v"].T @ dv, "emb": ge + gq @ p["q"].T * scale + gk @ p["k"].T + gv @ both.T,
+    }

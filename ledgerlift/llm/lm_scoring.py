@@ -6,7 +6,8 @@ each task and word with all documents that hold it, so no word's rows meet in on
 is in the head.
 
 The model (``attention``) learns from the training documents; its ids are those of a public tokenizer, applied to the
-lower-cased text. Slots, shares and first biases come from the counts of ids in all of them, which are those of its words. Parameters start from
+lower-cased text. Slots, shares and first biases come from the counts of ids in all of them, which are those of its words. Each text is
+tokenized once and kept as slots of two bytes an id, which learning and scoring read. Parameters start from
 the ``SAMPLE`` documents of least hash of doc_id, as far as ``SAMPLE_BYTES`` reach; then each task learns on from there, over
 all training documents it holds, and the tasks' parameters are averaged by their positions. So scores depend on how the
 table is split into tasks, in the last digits of a learned model.
@@ -36,14 +37,17 @@ HEAD, HEAD_WORD = 1 << 17, 64
 SAMPLE, SAMPLE_BYTES = 600, 16 << 20
 #: Distinct words that a task counts before it sends them on, and whose ids it remembers.
 MEMO, MEMO_IDS = 1 << 18, 1 << 19
+#: Bytes of slots that are worked on at once.
+SLOT_BYTES = 3 << 17
 _COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 _IDS = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 _LEARNED = pa.schema([("n", pa.int64()), ("p", pa.binary())])
 _TAIL = pa.schema([("word", pa.binary()), ("docs", pa.binary()), ("n", pa.binary())])
 _PARTS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("known", pa.int64()), ("logs", pa.float64())])
-_MAIN = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
+_MAIN = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("slots", pa.binary()), ("shares", pa.float64())])
 _BOTH = pa.schema([*_TAIL, *_MAIN])
-_BOTH_SCHEMA = "word binary, docs binary, n binary, doc_id long, h long, held_out boolean, n_tokens long, known long, logs double, score double"
+_BOTH_SCHEMA = "word binary, docs binary, n binary, doc_id long, h long, held_out boolean, n_tokens long, known long, logs double, slots binary, shares double"
+_SCORED = pa.schema([*list(_MAIN)[:6], ("score", pa.float64())])
 
 
 def _words(s) -> list[list[bytes]]:
@@ -114,30 +118,41 @@ def _id_counts(path: str, n_ids: int):
     return run
 
 
-def _learn(model, path: str):
-    """Training documents of a task -> its parameters and the positions that they were learned from."""
+def _slots(s) -> list[np.ndarray]:
+    data = s.data.view(np.uint16)
+    return [data[a:b] for a, b in zip((s.offs[:-1] // 2).tolist(), (s.offs[1:] // 2).tolist(), strict=True)]
+
+
+def _learn(model):
+    """Slots of a task's training documents -> its parameters and the positions that they were learned from."""
 
     def run(batches):
-        learner, ids = attention.Learner(attention.Attention(*model.value)), shared_ids(path, MEMO_IDS)
-        for s in slices(batches):
-            learner.add(ids.split(_words(s)))
+        attention.keep_memory()
+        learner = attention.Learner(attention.Attention(*model.value))
+        for s in slices(batches, "slots", limit=SLOT_BYTES):
+            learner.add(_slots(s))
         yield rows(_LEARNED, [learner.n], [attention.to_bytes(learner.p)])
 
     return run
 
 
-def learned(training: DataFrame, counted: DataFrame, ends: int, path: str) -> attention.Attention:
-    """The model of all documents of ``training``, with the counts ``counted`` (word, n) of their words."""
-    words = WordIds(path)
-    n_ids = words.tokenizer.get_vocab_size()
+def initial(counted: DataFrame, ends: int, path: str) -> attention.Attention:
+    """The model before learning, by the counts ``counted`` (word, n) of the words of all training documents."""
+    n_ids = WordIds(path).tokenizer.get_vocab_size()
     count = np.zeros(n_ids, np.int64)
     for r in counted.mapInArrow(_id_counts(path, n_ids), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most as many as the tokenizer has
         count[r["id"]] = r["n"]
+    return attention.initial(count, ends)
+
+
+def learned(training: DataFrame, slots: DataFrame, model: attention.Attention, path: str) -> attention.Attention:
+    """``model`` after the documents of ``training``, whose ``slots`` (doc_id, slots) are those of ``model``."""
     texts = [lower(np.frombuffer(r["text"].encode(), np.uint8)).tobytes() for r in sample(training, training, SAMPLE, SAMPLE_BYTES)] if SAMPLE else []
-    model = attention.train(words.texts(texts), n_ids, model=attention.initial(count, ends))
+    attention.keep_memory()
+    model = attention.train(WordIds(path).texts(texts), len(model.slot), model=model)
     shared = training.sparkSession.sparkContext.broadcast((model.slot, model.within, model.p))
     # one row of fixed size for each task, read one at a time
-    found = written(training.select("doc_id", "text").mapInArrow(_learn(shared, path), "n long, p binary"))
+    found = written(slots.mapInArrow(_learn(shared), "n long, p binary"))
     total, mean = 0, np.zeros(sum(v.size for v in model.p.values()))
     for r in found.where("n > 0").toLocalIterator():
         total += r["n"]
@@ -169,7 +184,7 @@ def base_log(c, total: int, distinct: int):
 
 
 def _scan(head, model, path: str, total: int, distinct: int, ends: int):
-    """One pass: a row for each document, with what its head words give, and rows for the words of the tail."""
+    """One pass: a row for each document, with its slots and what its head words give, and rows for the words of the tail."""
 
     def run(batches):
         logs = {w: float(base_log(c, total, distinct)) for w, c in head.value.items()}
@@ -182,7 +197,7 @@ def _scan(head, model, path: str, total: int, distinct: int, ends: int):
 
         for s in slices(batches):
             texts = _words(s)
-            scores = m.score(ids.split(texts)) / np.log(10)
+            slots = [m.slots(t) for t in ids.split(texts)]
             known, sums = [], []
             for key, h, words in zip(s.ids.to_pylist(), s.batch.column(2).to_pylist(), texts, strict=True):
                 got = [logs[w] for w in words if w in logs]
@@ -190,7 +205,7 @@ def _scan(head, model, path: str, total: int, distinct: int, ends: int):
                 sums.append(sum(got) + end)
                 if len(got) < len(words):
                     tail.add(key, h, [w for w in words if w not in logs])
-            yield rows(_BOTH, *(pa.nulls(len(s), f.type) for f in _TAIL), s.ids, s.batch.column(2), s.batch.column(3), [len(w) + 1 for w in texts], known, sums, scores)
+            yield rows(_BOTH, *(pa.nulls(len(s), f.type) for f in _TAIL), s.ids, s.batch.column(2), s.batch.column(3), [len(w) + 1 for w in texts], known, sums, [x.tobytes() for x, _ in slots], [x for _, x in slots])
             if len(tail.number) > MEMO:
                 yield tails()
         yield tails()
@@ -198,6 +213,19 @@ def _scan(head, model, path: str, total: int, distinct: int, ends: int):
     return run
 
 
+def _scored(model):
+    """Documents' slots -> their scores."""
+
+    def run(batches):
+        attention.keep_memory()
+        m = attention.Attention(*model.value)
+        for s in slices(batches, "slots", limit=SLOT_BYTES):
+            shares = s.batch.column(7).to_numpy()
+            yield rows(_SCORED, *(s.batch.column(i) for i in range(6)), (m.score(_slots(s)) + shares) / np.log(10))
+
+    return run
+
+
 def score(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text."""
     spark = docs.sparkSession
@@ -209,10 +237,13 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     distinct, total = table_.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct, total = distinct + (ends > 0), total + ends
     head = {bytes(r["word"]): r["n"] for r in table_.where(F.octet_length("word") <= HEAD_WORD).orderBy(F.desc("n"), "word").limit(HEAD).toLocalIterator()}
-    model = learned(training, table_, ends, path)
+    model = initial(table_, ends, path)
     sent, shared = spark.sparkContext.broadcast(head), spark.sparkContext.broadcast((model.slot, model.within, model.p))
+    # texts are made into slots once, for learning and for scoring
     both = written(docs.mapInArrow(_scan(sent, shared, path, total, distinct, ends), _BOTH_SCHEMA))
-    main, tail = both.where("word is null"), both.where("word is not null")
+    main, tail = both.where("word is null").drop(*_TAIL.names), both.where("word is not null")
+    model = learned(training, main.where("not held_out").select("doc_id", "slots"), model, path)
+    main = main.mapInArrow(_scored(spark.sparkContext.broadcast((model.slot, model.within, model.p))), "doc_id long, h long, held_out boolean, n_tokens long, known long, logs double, score double")
     joined = tail.join(table_.withColumnRenamed("n", "c"), "word", "left").select("docs", "n", "c")
     parts = joined.mapInArrow(_parts(total, distinct), "doc_id long, h long, known long, logs double")
     one = lambda name: F.col(name).alias(name)

@@ -420,6 +420,18 @@ def test_attention_sees_sixteen_ids():
     assert attention.CONTEXT == 16 and a != b
 
 
+def test_slots_score_as_their_ids():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 3000, n).astype(np.uint32) for n in (40, 0, 4000)]  # more ids than slots
+    m = attention.initial(np.bincount(np.concatenate(texts).astype(np.int64), minlength=3000) + 1, 3)
+    slots, shares = zip(*map(m.slots, texts), strict=True)
+    assert shares[2] < 0 and np.allclose(m.score(list(slots)) + shares, m.score(texts), rtol=1e-6)
+    a, b = attention.Learner(m), attention.Learner(m)
+    a.add(texts)
+    b.add(list(slots))
+    assert all((a.p[k] == b.p[k]).all() for k in a.p) and a.n == 4043
+
+
 def test_training_gradients():
     rng = np.random.default_rng(5)
     m = attention.train([rng.integers(0, 30, 60).astype(np.uint32)], 40, passes=1)
