@@ -7,7 +7,8 @@ told apart uniformly, so probabilities of all ids sum to one.
 
 Texts are laid end to end, each after ``CONTEXT + 1`` start marks, so that a window never sees another text. The stream is cut into
 windows of ``BLOCK`` positions, each with ``CONTEXT`` more before it: windows overlap, and every position is scored
-once, with all its context. Since one layer reads embeddings only, queries, keys and values of all ids are tables.
+once, with all its context. A product takes ``CONTEXT`` positions of a window, and the keys and values of as many before them.
+Since one layer reads embeddings only, queries, keys and values of all ids are tables.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ import ctypes
 
 import numpy as np
 
-CONTEXT, BLOCK, SIDE, WIDTH = 16, 16, 40, 32
+CONTEXT, BLOCK, SIDE, WIDTH = 16, 64, 40, 32
 SLOTS = SIDE * SIDE
 START, RARE, END = SLOTS - 1, SLOTS - 2, SLOTS - 3
 #: Positions that scoring works on at once.
 STREAM = 1 << 13
 _DISTANCE = np.arange(BLOCK)[:, None] + CONTEXT - np.arange(BLOCK + CONTEXT)[None, :]
 _SEEN = (_DISTANCE >= 0) & (_DISTANCE <= CONTEXT)
+#: The same for the positions of one product.
+_NEAR, _NEAR_SEEN = _DISTANCE[:CONTEXT, : 2 * CONTEXT], _SEEN[:CONTEXT, : 2 * CONTEXT]
 
 
 class Attention:
@@ -32,10 +35,10 @@ class Attention:
     def __init__(self, slot: np.ndarray, within: np.ndarray, p: dict[str, np.ndarray]):
         self.slot, self.within, self.p = slot, within, p
         one = np.ones((len(p["emb"]), 1), np.float32)
-        q = (p["emb"] @ p["q"] / np.float32(np.sqrt(WIDTH))).astype(np.float32)
-        # a column of ones in the values sums the weights; one in the hidden vector adds the biases
-        self.tables = q, (p["emb"] @ p["k"]).astype(np.float32), np.concatenate([p["emb"] @ p["v"] @ p["o"], one], 1).astype(np.float32)
-        self.bias = np.where(_SEEN, np.exp(p["bias"])[np.clip(_DISTANCE, 0, CONTEXT)], 0).astype(np.float32)
+        self.q = (p["emb"] @ p["q"] / np.float32(np.sqrt(WIDTH))).astype(np.float32)
+        # keys, values and a column of ones that sums the weights; one in the hidden vector adds the biases
+        self.kv = np.concatenate([p["emb"] @ p["k"], p["emb"] @ p["v"] @ p["o"], one], 1).astype(np.float32)
+        self.bias = _weights(p["bias"]).astype(np.float32)
         self.emb = np.concatenate([p["emb"], one], 1).astype(np.float32)
         self.wc = np.concatenate([p["wc"], p["bc"][None]]).astype(np.float32)
         self.wi = np.concatenate([p["wi"], p["bi"][:, None]], 1).astype(np.float32)
@@ -67,55 +70,64 @@ class Attention:
         return out + np.array([0.0 if t.dtype == np.uint16 else self.within[t].sum() for t in texts])
 
     def _chunk(self, x: np.ndarray, target: np.ndarray, a: int, b: int) -> np.ndarray:
-        tq, tk, tv = self.tables
-        n = -(-(b - a) // BLOCK)
-        s = np.full(n * BLOCK + CONTEXT, START, np.int32)
+        n = -(-(b - a) // CONTEXT)
+        s = np.full((n + 1) * CONTEXT, START, np.int32)
         lo = max(0, a - CONTEXT)
         s[CONTEXT - (a - lo) : CONTEXT + b - a] = x[lo:b]
-        own = s[CONTEXT:]
-        w = tq[own].reshape(n, BLOCK, WIDTH) @ _windows(tk[s], n).transpose(0, 2, 1)
+        own, kv = s[CONTEXT:], self.kv.take(s, 0)
+        w = self.q.take(own, 0).reshape(n, CONTEXT, WIDTH) @ _parts(kv[None, :, :WIDTH])[0].transpose(0, 2, 1)
         np.clip(w, -30, 30, out=w)
         np.exp(w, out=w)
         w *= self.bias
-        h = (w @ _windows(tv[s], n)).reshape(-1, WIDTH + 1)[: b - a]
-        h /= h[:, -1:]
-        h[:, -1] = 0
-        h += self.emb[own[: b - a]]
+        h = (w @ _parts(kv[None, :, WIDTH:])[0]).reshape(-1, WIDTH + 1)
+        norm = 1 / h[:, WIDTH:]
+        h[:, WIDTH] = 0
+        h *= norm
+        h += self.emb.take(own, 0)
         y = target[a:b]
-        cluster, member = y // SIDE, y % SIDE
-        z = h @ self.wc
-        out = z[np.arange(len(y)), cluster]
+        order = np.argsort((y // SIDE).astype(np.uint8), kind="stable")
+        y, h = y[order], h.take(order, 0)
+        z, cluster, _ = _logits(h, self.wc, self.wi, y)
+        row = np.arange(len(y))
+        picked = z[0, row, cluster] + z[1, row, y % SIDE]
         np.exp(z, out=z)
-        total = z.sum(1)
-        order = np.argsort(cluster.astype(np.uint8), kind="stable")
-        edge = np.searchsorted(cluster[order], np.arange(SIDE + 1))
-        g, gm = h[order], member[order]
-        inner = np.empty(len(y), np.float32)
-        for c in range(SIDE):
-            i, j = edge[c], edge[c + 1]
-            if i < j:
-                z = g[i:j] @ self.wi[c]
-                inner[i:j] = z[np.arange(j - i), gm[i:j]]
-                np.exp(z, out=z)
-                total[order[i:j]] *= z.sum(1)
-        out[order] += inner
-        return out - np.log(total)
-
-
-def _windows(rows: np.ndarray, n: int) -> np.ndarray:
-    """Overlapping windows of consecutive rows, as a view."""
-    step, item = rows.strides
-    return np.lib.stride_tricks.as_strided(rows, (n, BLOCK + CONTEXT, rows.shape[1]), (BLOCK * step, step, item))
+        total = z @ np.ones(SIDE, np.float32)
+        out = np.empty(len(y), np.float32)
+        out[order] = picked - np.log(total[0]) - np.log(total[1])
+        return out
+
+
+def _weights(bias: np.ndarray) -> np.ndarray:
+    """By what the distances in one product multiply its weights."""
+    return np.where(_NEAR_SEEN, np.exp(bias)[np.clip(_NEAR, 0, CONTEXT)], bias.dtype.type(0))
+
+
+def _parts(rows: np.ndarray) -> np.ndarray:
+    """Of each window's rows, overlapping parts of ``2 * CONTEXT``, as a view."""
+    window, step, item = rows.strides
+    return np.lib.stride_tricks.as_strided(rows, (len(rows), rows.shape[1] // CONTEXT - 1, 2 * CONTEXT, rows.shape[2]), (window, CONTEXT * step, step, item))
+
+
+def _logits(h: np.ndarray, wc: np.ndarray, wi: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    """Logits of the clusters and of the members of y's cluster, for y in the order of clusters; y's clusters and where each begins."""
+    cluster = y // SIDE
+    edge = np.searchsorted(cluster, np.arange(SIDE + 1)).tolist()
+    z = np.empty((2, len(y), SIDE), h.dtype)
+    np.matmul(h, wc, out=z[0])
+    for c in range(SIDE):
+        i, j = edge[c], edge[c + 1]
+        if i < j:
+            np.matmul(h[i:j], wi[c], out=z[1, i:j])
+    return z, cluster, edge
 
 
 def _grow(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Rows of x summed by their index."""
-    out = np.zeros((n, x.shape[1]), x.dtype)
-    order = np.argsort(at.astype(np.uint16), kind="stable")  # SLOTS are fewer
-    at = at[order]
-    edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    out[at[edge]] = np.add.reduceat(x.take(order, 0), edge, axis=0)
-    return out
+    """Rows of x, of an even width, summed by their index; two columns are added at once, as one complex number."""
+    pairs = x.view(np.complex64 if x.dtype == np.float32 else np.complex128)
+    k = pairs.shape[1]
+    out = np.zeros(n * k, pairs.dtype)
+    np.add.at(out, (at[:, None] * np.int64(k) + np.arange(k)).ravel(), pairs.ravel())
+    return out.view(x.dtype).reshape(n, -1)
 
 
 def initial(count: np.ndarray, ends: int, seed: int = 0) -> Attention:
@@ -148,11 +160,21 @@ class Adam:
 
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
-        lr = rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        lr = float(rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         for k, v in g.items():
-            self.first[k] += 0.1 * (v - self.first[k])
-            self.second[k] += 0.01 * (v * v - self.second[k])
-            self.p[k] -= (lr * self.first[k] / (np.sqrt(self.second[k]) + 1e-8)).astype(np.float32)
+            first, second = self.first[k], self.second[k]
+            change = v - first
+            change *= 0.1
+            first += change
+            np.multiply(v, v, out=change)
+            change -= second
+            change *= 0.01
+            second += change
+            np.sqrt(second, out=change)
+            change += 1e-8
+            np.divide(first, change, out=change)
+            change *= lr
+            self.p[k] -= change
 
 
 def _examples(model: Attention, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +190,7 @@ def _examples(model: Attention, texts: list[np.ndarray]) -> tuple[np.ndarray, np
     return np.lib.stride_tricks.as_strided(s, (n, BLOCK + CONTEXT), (BLOCK * s.itemsize, s.itemsize)), target, use
 
 
-def train(texts: list[np.ndarray], n_ids: int, rate: float = 0.01, step_blocks: int = 128, passes: int = 2, seed: int = 0, model: Attention | None = None) -> Attention:
+def train(texts: list[np.ndarray], n_ids: int, rate: float = 0.01, step_blocks: int = 2048 // BLOCK, passes: int = 2, seed: int = 0, model: Attention | None = None) -> Attention:
     """Adam over windows in a fixed random order, from ``model`` or from one with the texts' own frequencies."""
     if model is None:
         model = initial(np.bincount(np.concatenate([np.empty(0, np.uint32), *texts]).astype(np.int64), minlength=n_ids), len(texts), seed)
@@ -196,7 +218,7 @@ def keep_memory() -> None:
 class Learner:
     """One pass of Adam over texts as they come, from a copy of a model's parameters; ``n`` positions so far."""
 
-    def __init__(self, model: Attention, rate: float = 0.003, step_blocks: int = 512, seed: int = 0):
+    def __init__(self, model: Attention, rate: float = 0.003, step_blocks: int = 8192 // BLOCK, seed: int = 0):
         self.model, self.rate, self.step_blocks, self.n = model, rate, step_blocks, 0
         self.p = {k: v.copy() for k, v in model.p.items()}
         self.adam, self.rng = Adam(self.p), np.random.default_rng(seed)
@@ -229,59 +251,56 @@ def _gradients(p: dict, windows: np.ndarray, target: np.ndarray, use: np.ndarray
     Queries, keys and values are rows of tables, and so are their gradients: they are summed by id before any matrix meets them.
     """
     b, emb, kind = len(windows), p["emb"], p["emb"].dtype.type
-    scale, both = kind(1 / np.sqrt(WIDTH)), p["v"] @ p["o"]
+    scale, both, m = kind(1 / np.sqrt(WIDTH)), p["v"] @ p["o"], BLOCK // CONTEXT
     # a column of ones sums the weights on the way out, and takes their mean from the gradient on the way back
-    k, v = (emb @ p["k"]).take(windows, 0), np.concatenate([emb @ both, np.ones((len(emb), 1), kind)], 1).take(windows, 0)
-    own = windows[:, CONTEXT:]
-    q = (emb @ p["q"] * scale).take(own, 0)
-    w = q @ k.transpose(0, 2, 1)
+    kv = np.concatenate([emb @ p["k"], emb @ both, np.ones((len(emb), 1), kind)], 1).take(windows, 0)
+    k, v = _parts(kv[..., :WIDTH]), _parts(kv[..., WIDTH:])
+    own = windows[:, CONTEXT:].ravel()
+    q = (emb @ p["q"] * scale).take(own, 0).reshape(b, m, CONTEXT, WIDTH)
+    w = q @ k.swapaxes(2, 3)
     np.clip(w, -30, 30, out=w)
     np.exp(w, out=w)
-    w *= np.where(_SEEN, np.exp(p["bias"])[np.clip(_DISTANCE, 0, CONTEXT)], kind(0))
-    c = w @ v
-    norm = 1 / c[..., WIDTH:]
-    c = c[..., :WIDTH] * norm
+    w *= _weights(p["bias"])
+    c = (w @ v).reshape(-1, WIDTH + 1)
+    norm = 1 / c[:, WIDTH:]
+    c *= norm  # the last column is one
     used = np.flatnonzero(use.ravel())
     y = target.ravel()[used]
     order = np.argsort((y // SIDE).astype(np.uint8), kind="stable")
     used, y = used[order], y[order]
-    cluster, member, row = y // SIDE, y % SIDE, np.arange(len(y))
-    edge = np.searchsorted(cluster, np.arange(SIDE + 1)).tolist()
-    h = np.ones((len(used), WIDTH + 1), kind)
-    h[:, :WIDTH] = (c + emb.take(own, 0)).reshape(-1, WIDTH).take(used, 0)
+    row = np.arange(len(y))
+    h = c.take(used, 0)
+    h[:, :WIDTH] += emb.take(own[used], 0)
     weight = kind(1 / max(1, len(used)))
-
-    def off(z, at):
-        """Logits -> weighted probabilities less what they should be."""
-        np.minimum(z, 60, out=z)
-        np.exp(z, out=z)
-        z *= weight / z.sum(1, keepdims=True)
-        z[row[: len(z)], at] -= weight
-        return z
-
-    z = off(h @ np.concatenate([p["wc"], p["bc"][None]]), cluster)
-    outer, inner, dh = h.T @ z, np.zeros((SIDE, WIDTH + 1, SIDE), kind), z @ p["wc"].T
-    wi = np.concatenate([p["wi"], p["bi"][:, None]], 1)
+    z, cluster, edge = _logits(h, np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["wi"], p["bi"][:, None]], 1), y)
+    # logits -> weighted probabilities less what they should be
+    np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
+    z *= (weight / (z @ np.ones(SIDE, kind)))[..., None]
+    z[0, row, cluster] -= weight
+    z[1, row, y % SIDE] -= weight
+    outer, inner, dh = h.T @ z[0], np.zeros((SIDE, WIDTH + 1, SIDE), kind), z[0] @ p["wc"].T
     for j in range(SIDE):
         i, e = edge[j], edge[j + 1]
         if i < e:
-            z = off(h[i:e] @ wi[j], member[i:e])
-            inner[j] = h[i:e].T @ z
-            dh[i:e] += z @ p["wi"][j].T
-    dqe, dkv = np.zeros((b, BLOCK, 2 * WIDTH), kind), np.empty((b, BLOCK + CONTEXT, 2 * WIDTH), kind)
-    dqe.reshape(-1, 2 * WIDTH)[used, WIDTH:] = dh
-    dc = np.empty((b, BLOCK, WIDTH + 1), kind)
-    np.multiply(dqe[..., WIDTH:], norm, out=dc[..., :WIDTH])
-    dc[..., WIDTH] = -np.einsum("bij,bij->bi", dc[..., :WIDTH], c)
-    ds = dc @ v.transpose(0, 2, 1)
+            np.matmul(h[i:e].T, z[1, i:e], out=inner[j])
+            dh[i:e] += z[1, i:e] @ p["wi"][j].T
+    dqe, dkv = np.zeros((b * BLOCK, 2 * WIDTH), kind), np.zeros((b, BLOCK + CONTEXT, 2 * WIDTH), kind)
+    dqe[used, WIDTH:] = dh
+    dc = np.empty((b * BLOCK, WIDTH + 1), kind)
+    np.multiply(dqe[:, WIDTH:], norm, out=dc[:, :WIDTH])
+    dc[:, WIDTH] = -np.einsum("ij,ij->i", dc[:, :WIDTH], c[:, :WIDTH])
+    dc = dc.reshape(b, m, CONTEXT, WIDTH + 1)
+    ds = dc @ v.swapaxes(2, 3)
     ds *= w
-    dqe[..., :WIDTH] = ds @ k
-    dkv[..., :WIDTH] = ds.transpose(0, 2, 1) @ q
-    dkv[..., WIDTH:] = w.transpose(0, 2, 1) @ dc[..., :WIDTH]
-    gq, ge = np.split(_grow(dqe.reshape(-1, 2 * WIDTH), own.ravel(), SLOTS), 2, axis=1)
+    dqe[:, :WIDTH] = (ds @ k).reshape(-1, WIDTH)
+    for at, d in ((slice(WIDTH), ds.swapaxes(2, 3) @ q), (slice(WIDTH, None), w.swapaxes(2, 3) @ dc[..., :WIDTH])):
+        dkv[:, :BLOCK, at] = d[:, :, :CONTEXT].reshape(b, BLOCK, WIDTH)
+        dkv[:, CONTEXT:, at] += d[:, :, CONTEXT:].reshape(b, BLOCK, WIDTH)
+    gq, ge = np.split(_grow(dqe, own, SLOTS), 2, axis=1)
     gk, gv = np.split(_grow(dkv.reshape(-1, 2 * WIDTH), windows.ravel(), SLOTS), 2, axis=1)
     dv = emb.T @ gv
     return {
-        "wc": outer[:WIDTH], "bc": outer[WIDTH], "wi": inner[:, :WIDTH], "bi": inner[:, WIDTH], "bias": np.bincount(_DISTANCE[_SEEN], ds.sum(0)[_SEEN], minlength=CONTEXT + 1).astype(kind),
+        "wc": outer[:WIDTH], "bc": outer[WIDTH], "wi": inner[:, :WIDTH], "bi": inner[:, WIDTH], "bias": np.bincount(_NEAR[_NEAR_SEEN], ds.sum((0, 1))[_NEAR_SEEN], minlength=CONTEXT + 1).astype(kind),
         "q": emb.T @ gq * scale, "k": emb.T @ gk, "v": dv @ p["o"].T, "o": p["v"].T @ dv, "emb": ge + gq @ p["q"].T * scale + gk @ p["k"].T + gv @ both.T,
     }
