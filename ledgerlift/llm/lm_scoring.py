@@ -19,7 +19,10 @@ the base score is that of an empty corpus; an empty table gives no rows; further
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +31,17 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .arrays import binary, lower, raw, rows, slices
-from .packing import WordIds, shared_ids, tokenizer_path
+from .packing import WordIds, tokenizer_path
 from .tables import sample, table, written
 
 #: Words of the head, and a word's bytes there at most: longer ones are joined with the tail.
 HEAD, HEAD_WORD = 1 << 17, 64
 #: Documents that the parameters start from, and about how many bytes of them.
 SAMPLE, SAMPLE_BYTES = 600, 16 << 20
-#: Distinct words that a task counts before it sends them on, and whose ids it remembers.
-MEMO, MEMO_IDS = 1 << 18, 1 << 19
+#: Distinct words that a task counts before it sends them on, that a process numbers, and whose ids its tokenizer remembers.
+MEMO, MEMO_WORDS, MEMO_IDS = 1 << 18, 1 << 19, 1 << 17
+#: Pairs of a tail word and a document that a task holds before it sends them on.
+PAIRS = 1 << 20
 #: Bytes of slots that are worked on at once.
 SLOT_BYTES = 3 << 17
 _COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -76,42 +81,148 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class LetterIds(WordIds):
+    """A word of small Latin letters is one piece whatever the tokenizer does before its model, and so are signs behind it but for the apostrophe: the model alone gives the letters' ids."""
+
+    PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
+    def __init__(self, path: str):
+        super().__init__(path, MEMO_IDS)
+        self.model, self.signs = self.tokenizer.model, {b"": []}
+        # the model's letters are bytes: those that print are themselves, the rest follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = dict(zip([*shown, *sorted({*range(256)} - {*shown})], [*shown, *range(256, 512 - len(shown))], strict=True))
+
+    def each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct lower-case words, end to end, and how many each has."""
+        plain = list(map(self.PLAIN.fullmatch, words))
+        rest = iter(self.split([[w] for w, m in zip(words, plain, strict=True) if m is None]))
+        new = list({m[2] for m in plain if m} - self.signs.keys())
+        if len(self.signs) + len(new) > self.most:
+            self.signs, new = {b"": []}, list({m[2] for m in plain if m} - {b""})
+        self.signs.update((w, x.tolist()) for w, x in zip(new, self.split([[w] for w in new]), strict=True))
+        out, length, signs, tokenize = array("I"), [], self.signs, self.model.tokenize
+        for m in plain:
+            if m:
+                stem, tail = m.groups()
+                text = stem.decode() if stem.isascii() else stem.decode("latin-1").translate(self.letters)
+                ids = [t.id for t in tokenize(text)] + signs[tail]
+            else:
+                ids = next(rest).tolist()
+            out.extend(ids)
+            length.append(len(ids))
+        return np.array(out, np.uint32), np.array(length, np.int64)
+
+
+class _Numbers(dict):
+    """Words' numbers, given as they are asked for."""
+
+    def __init__(self):
+        self.words: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        return n
+
+
+class Words:
+    """Words by number with their tokenizer ids, in one array; tasks of a process use them in turn."""
+
+    def __init__(self, path: str):
+        self.tokenizer = LetterIds(path)
+        self.start()
+
+    def start(self) -> None:
+        self.number, self.edges, self.ids = _Numbers(), np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        n = len(self.edges) - 1
+        found = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if len(self.number.words) > n:
+            ids, length = self.tokenizer.each(self.number.words[n:])
+            self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(length)])
+            self.ids = np.concatenate([self.ids, ids])
+        return found
+
+
+_SHARED: dict[str, Words] = {}
+
+
+def shared_words(path: str) -> Words:
+    if path not in _SHARED:
+        _SHARED[path] = Words(path)
+    return _SHARED[path]
+
+
+class _Known:
+    """What a task knows of each numbered word: its base logarithm if it is of the head, its slots and their summed log shares."""
+
+    def __init__(self, words: Words, model: attention.Attention, logs: dict[bytes, float]):
+        self.words, self.model, self.of = words, model, logs
+        self.start()
+
+    def start(self) -> None:
+        self.logs, self.head, self.shares, self.slots = np.empty(0), np.empty(0, bool), np.empty(0), np.empty(0, np.uint16)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        found, n = self.words.numbers(words), len(self.logs)
+        new = self.words.number.words[n:]
+        if new:
+            edges = self.words.edges[n:]
+            ids = self.words.ids[edges[0] : edges[-1]]
+            logs = np.array([self.of.get(w, np.nan) for w in new])
+            before = np.concatenate([[0.0], np.cumsum(self.model.within[ids])])[edges - edges[0]]
+            self.head = np.concatenate([self.head, ~np.isnan(logs)])
+            self.logs = np.concatenate([self.logs, np.nan_to_num(logs)])
+            self.shares = np.concatenate([self.shares, np.diff(before)])
+            self.slots = np.concatenate([self.slots, self.model.slot[ids].astype(np.uint16)])
+        return found
+
+    def text(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of a sequence of words, and where each word's begin, and the last one's end."""
+        first = self.words.edges[found]
+        length = self.words.edges[found + 1] - first
+        at = np.concatenate([[0], np.cumsum(length)])
+        return self.slots[np.repeat(first - at[:-1], length) + np.arange(at[-1])], at
+
+
 class _Tail:
-    """Words outside the head, numbered as they come, and the documents that hold them."""
+    """Words outside the head, by their numbers, and the documents that hold them."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {}
-        self.keys, self.words, self.docs = [], [], []
-
-    def add(self, key: int, h: int, words: list[bytes]) -> None:
-        n = self.number
-        found = np.array([n.setdefault(w, len(n)) for w in words], np.int64)
-        if len(found):
-            self.words.append(found)
-            self.docs.append(np.full(len(found), len(self.keys)))
-            self.keys.append((key, h))
-
-    def take(self) -> tuple[list, pa.Array, pa.Array]:
+        self.keys, self.pairs, self.n, self.docs, self.held = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)], 0, 0
+
+    def add(self, keys: np.ndarray, words: np.ndarray, docs: np.ndarray) -> None:
+        """Occurrences of words in documents with these keys (doc_id, h)."""
+        pair, n = np.unique(words * len(keys) + docs, return_counts=True)
+        self.pairs.append(np.stack([pair // len(keys), pair % len(keys) + self.docs], 1))
+        self.n.append(n)
+        self.keys.append(keys)
+        self.docs += len(keys)
+        self.held += len(n)
+
+    def take(self, words: list[bytes]) -> tuple[list, pa.Array, pa.Array]:
         """(words, their documents' ids and hashes, their counts there); starts anew."""
-        words = list(self.number)
-        m = max(1, len(self.keys))
-        pair, count = np.unique(np.concatenate([np.empty(0, np.int64), *(w * m + d for w, d in zip(self.words, self.docs, strict=True))]), return_counts=True)
-        edges = np.searchsorted(pair, np.arange(len(words) + 1) * m)
-        keys = np.array(self.keys, np.int64).reshape(-1, 2)[pair % m]
+        (word, doc), n, keys = np.concatenate(self.pairs).T, np.concatenate(self.n), np.concatenate(self.keys)
+        order = np.argsort(word, kind="stable")
+        word, doc, n = word[order], doc[order], n[order]
+        edges = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
+        found, edges = [words[i] for i in word[edges].tolist()], np.append(edges, len(word))
         self.__init__()
-        return words, binary(keys.view(np.uint8).ravel(), 16 * edges), binary(count.astype(np.int32).view(np.uint8), 4 * edges)
+        return found, binary(keys[doc].view(np.uint8).ravel(), 16 * edges), binary(n.astype(np.int32).view(np.uint8), 4 * edges)
 
 
 def _id_counts(path: str, n_ids: int):
     """Counted words -> counted ids of their tokens, once for each task."""
 
     def run(batches):
-        total, ids = np.zeros(n_ids, np.int64), shared_ids(path, MEMO_IDS)
+        total, ids = np.zeros(n_ids, np.int64), LetterIds(path)
         for batch in batches:
             words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for a in range(0, len(words), 1 << 14):
-                got = ids.split([[w] for w in words[a : a + (1 << 14)]])
-                np.add.at(total, np.concatenate(got).astype(np.int64), np.repeat(n[a : a + (1 << 14)], [len(x) for x in got]))
+                got, length = ids.each(words[a : a + (1 << 14)])
+                total += np.bincount(got, np.repeat(n[a : a + (1 << 14)], length), n_ids).astype(np.int64)  # exact below 2**53
         at = np.flatnonzero(total)
         yield rows(_IDS, at, total[at])
 
@@ -189,24 +300,28 @@ def _scan(head, model, path: str, total: int, distinct: int, ends: int):
     def run(batches):
         logs = {w: float(base_log(c, total, distinct)) for w, c in head.value.items()}
         end = float(base_log(ends, total, distinct))
-        m, ids, tail = attention.Attention(*model.value), shared_ids(path, MEMO_IDS), _Tail()
+        words, tail = shared_words(path), _Tail()
+        known = _Known(words, attention.Attention(*model.value), logs)
 
         def tails():
-            words, docs, n = tail.take()
-            return rows(_BOTH, words, docs, n, *(pa.nulls(len(words), f.type) for f in _MAIN))
+            found, docs, n = tail.take(words.number.words)
+            return rows(_BOTH, found, docs, n, *(pa.nulls(len(found), f.type) for f in _MAIN))
 
         for s in slices(batches):
             texts = _words(s)
-            slots = [m.slots(t) for t in ids.split(texts)]
-            known, sums = [], []
-            for key, h, words in zip(s.ids.to_pylist(), s.batch.column(2).to_pylist(), texts, strict=True):
-                got = [logs[w] for w in words if w in logs]
-                known.append(len(got) + (ends > 0))
-                sums.append(sum(got) + end)
-                if len(got) < len(words):
-                    tail.add(key, h, [w for w in words if w not in logs])
-            yield rows(_BOTH, *(pa.nulls(len(s), f.type) for f in _TAIL), s.ids, s.batch.column(2), s.batch.column(3), [len(w) + 1 for w in texts], known, sums, [x.tobytes() for x, _ in slots], [x for _, x in slots])
-            if len(tail.number) > MEMO:
+            if len(words.number) > MEMO_WORDS:
+                yield tails()
+                words.start()
+                known.start()
+            length = np.array([len(w) for w in texts])
+            found, doc, first = known.numbers(list(chain.from_iterable(texts))), np.repeat(np.arange(len(s)), length), np.concatenate([[0], np.cumsum(length)])
+            sums = lambda x: np.bincount(doc, x[found], len(s))
+            slots, at = known.text(found)
+            rest = np.flatnonzero(~known.head[found])
+            if len(rest):
+                tail.add(np.stack([s.ids.to_numpy(), s.batch.column(2).to_numpy()], 1), found[rest], doc[rest])
+            yield rows(_BOTH, *(pa.nulls(len(s), f.type) for f in _TAIL), s.ids, s.batch.column(2), s.batch.column(3), length + 1, sums(known.head).astype(np.int64) + (ends > 0), sums(known.logs) + end, binary(slots.view(np.uint8), 2 * at[first]), sums(known.shares))
+            if tail.held > PAIRS:
                 yield tails()
         yield tails()
 

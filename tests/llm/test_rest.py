@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import brute
 import numpy as np
@@ -470,6 +471,50 @@ def test_steps_take_windows_of_four_contexts_with_the_positions_of_before():
     assert (attention._grow(x, at, 5) == [x[1] + x[5], 0 * x[0], x[0] + x[2] + x[3], 0 * x[0], x[4]]).all()
 
 
+def test_words_have_the_tokenizers_ids_without_its_other_steps(monkeypatch):
+    rng = random.Random(3)
+    letters = "abcxyzéßñäö÷×ÿàşéñ’'\"!#$%&()*+,-./:;<=>?@[]^_`{|}~0189한中\x01\x7f\u0301"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))).lower().encode() for _ in range(5000)]
+    words = list(dict.fromkeys([*words, "straße,".encode(), b"it's", b"plain", b"plain.", b"<|endoftext|>", b"\xff\xfe", b"a\xc3"]))
+    path = packing.tokenizer_path()
+    want = packing.WordIds(path).split([[w] for w in words])
+    for most in (1 << 17, 1):  # memos that are kept, and that start anew
+        monkeypatch.setattr(lm_scoring, "MEMO_IDS", most)
+        ids, length = lm_scoring.LetterIds(path).each(words)
+        assert length.tolist() == [len(x) for x in want] and (ids == np.concatenate(want)).all()
+
+
+def test_words_and_tails_that_start_anew_change_nothing(odd, monkeypatch):
+    import pyarrow as pa
+
+    pairs = [*odd, *((100 + i, f"alpha w{i % 7} beta{i} w{i % 3}, alpha") for i in range(60))]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [t or ""], "h": [i], "held_out": [False]}) for i, (k, t) in enumerate(pairs)]
+    sent = lambda x: SimpleNamespace(value=x)
+    path = packing.tokenizer_path()
+    m = attention.initial(np.arange(49408) % 977, 3)
+
+    def scanned():
+        monkeypatch.setattr(lm_scoring, "_SHARED", {})
+        main, tail = [], Counter()
+        for r in pa.Table.from_batches(list(lm_scoring._scan(sent({b"alpha": 9, b"the": 4}), sent((m.slot, m.within, m.p)), path, 100, 50, 7)(iter(batches)))).to_pylist():
+            if r["word"] is None:
+                main.append({k: round(v, 6) if isinstance(v, float) else v for k, v in r.items()})
+                continue
+            for key, n in zip(np.frombuffer(r["docs"], np.int64).reshape(-1, 2).tolist(), np.frombuffer(r["n"], np.int32).tolist(), strict=True):
+                tail[r["word"], *key] += n
+        return main, tail
+
+    main, tail = scanned()
+    for i, (r, (k, t)) in enumerate(zip(main, pairs, strict=True)):
+        words = (t or "").lower().encode() if (t or "").isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode())
+        (ids,) = packing.WordIds(path).texts([words])
+        assert r["doc_id"] == k and r["n_tokens"] == len(words.split()) + 1 and r["slots"] == m.slots(ids)[0].tobytes() and abs(r["shares"] - m.slots(ids)[1]) < 1e-3
+        assert {w: n for (w, _, h), n in tail.items() if h == i} == {w: n for w, n in Counter(words.split()).items() if w not in (b"alpha", b"the")}
+    monkeypatch.setattr(lm_scoring, "MEMO_WORDS", 1)
+    monkeypatch.setattr(lm_scoring, "PAIRS", 1)
+    assert scanned() == (main, tail)
+
+
 # shards
 
 
