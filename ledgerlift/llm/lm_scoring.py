@@ -39,9 +39,9 @@ HEAD, HEAD_WORD = 1 << 17, 64
 #: Documents that the parameters start from, and about how many bytes of them.
 SAMPLE, SAMPLE_BYTES = 600, 16 << 20
 #: Distinct words that a task counts before it sends them on, that a process numbers, and whose ids its tokenizer remembers.
-MEMO, MEMO_WORDS, MEMO_IDS = 1 << 18, 1 << 19, 1 << 17
+MEMO, MEMO_WORDS, MEMO_IDS = 1 << 18, 3 << 17, 1 << 17
 #: Pairs of a tail word and a document that a task holds before it sends them on.
-PAIRS = 1 << 20
+PAIRS = 1 << 19
 #: Bytes of slots that are worked on at once.
 SLOT_BYTES = 3 << 17
 _COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -114,6 +114,14 @@ class LetterIds(WordIds):
         return np.array(out, np.uint32), np.array(length, np.int64)
 
 
+def _put(into: np.ndarray, n: int, new: np.ndarray) -> np.ndarray:
+    """``new`` behind the first n values of an array, which doubles when it is full: arrays that grow by a little each time leave holes."""
+    if n + len(new) > len(into):
+        into = np.concatenate([into[:n], np.empty(max(n, len(new), 1 << 16), into.dtype)])
+    into[n : n + len(new)] = new
+    return into
+
+
 class _Numbers(dict):
     """Words' numbers, given as they are asked for."""
 
@@ -134,15 +142,14 @@ class Words:
         self.start()
 
     def start(self) -> None:
-        self.number, self.edges, self.ids = _Numbers(), np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.number, self.n, self.edges, self.ids = _Numbers(), 0, np.zeros(1, np.int64), np.empty(0, np.uint32)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        n = len(self.edges) - 1
-        found = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        found, n = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)), self.n
         if len(self.number.words) > n:
             ids, length = self.tokenizer.each(self.number.words[n:])
-            self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(length)])
-            self.ids = np.concatenate([self.ids, ids])
+            self.ids = _put(self.ids, self.edges[n], ids)
+            self.edges, self.n = _put(self.edges, n + 1, self.edges[n] + np.cumsum(length)), n + len(length)
         return found
 
 
@@ -156,27 +163,27 @@ def shared_words(path: str) -> Words:
 
 
 class _Known:
-    """What a task knows of each numbered word: its base logarithm if it is of the head, its slots and their summed log shares."""
+    """What a task knows of each numbered word: its base logarithm if it is of the head (``counts``), its slots and their summed log shares."""
 
-    def __init__(self, words: Words, model: attention.Attention, logs: dict[bytes, float]):
-        self.words, self.model, self.of = words, model, logs
+    def __init__(self, words: Words, model: attention.Attention, counts: dict[bytes, int], log):
+        self.words, self.model, self.counts, self.log = words, model, counts, log
         self.start()
 
     def start(self) -> None:
-        self.logs, self.head, self.shares, self.slots = np.empty(0), np.empty(0, bool), np.empty(0), np.empty(0, np.uint16)
+        self.n, self.logs, self.head, self.shares, self.slots = 0, np.empty(0), np.empty(0, bool), np.empty(0), np.empty(0, np.uint16)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        found, n = self.words.numbers(words), len(self.logs)
-        new = self.words.number.words[n:]
-        if new:
-            edges = self.words.edges[n:]
+        found, n = self.words.numbers(words), self.n
+        if self.words.n > n:
+            new, edges = self.words.number.words[n:], self.words.edges[n : self.words.n + 1]
             ids = self.words.ids[edges[0] : edges[-1]]
-            logs = np.array([self.of.get(w, np.nan) for w in new])
+            counts = np.array([self.counts.get(w, 0) for w in new])
             before = np.concatenate([[0.0], np.cumsum(self.model.within[ids])])[edges - edges[0]]
-            self.head = np.concatenate([self.head, ~np.isnan(logs)])
-            self.logs = np.concatenate([self.logs, np.nan_to_num(logs)])
-            self.shares = np.concatenate([self.shares, np.diff(before)])
-            self.slots = np.concatenate([self.slots, self.model.slot[ids].astype(np.uint16)])
+            self.head = _put(self.head, n, counts > 0)
+            self.logs = _put(self.logs, n, np.where(counts > 0, self.log(counts), 0))
+            self.shares = _put(self.shares, n, np.diff(before))
+            self.slots = _put(self.slots, edges[0], self.model.slot[ids])
+            self.n = self.words.n
         return found
 
     def text(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,6 +245,7 @@ def _learn(model):
     """Slots of a task's training documents -> its parameters and the positions that they were learned from."""
 
     def run(batches):
+        _SHARED.clear()  # the pass that numbers words is over
         attention.keep_memory()
         learner = attention.Learner(attention.Attention(*model.value))
         for s in slices(batches, "slots", limit=SLOT_BYTES):
@@ -298,10 +306,9 @@ def _scan(head, model, path: str, total: int, distinct: int, ends: int):
     """One pass: a row for each document, with its slots and what its head words give, and rows for the words of the tail."""
 
     def run(batches):
-        logs = {w: float(base_log(c, total, distinct)) for w, c in head.value.items()}
         end = float(base_log(ends, total, distinct))
         words, tail = shared_words(path), _Tail()
-        known = _Known(words, attention.Attention(*model.value), logs)
+        known = _Known(words, attention.Attention(*model.value), head.value, lambda c: base_log(c, total, distinct))
 
         def tails():
             found, docs, n = tail.take(words.number.words)
@@ -332,6 +339,7 @@ def _scored(model):
     """Documents' slots -> their scores."""
 
     def run(batches):
+        _SHARED.clear()
         attention.keep_memory()
         m = attention.Attention(*model.value)
         for s in slices(batches, "slots", limit=SLOT_BYTES):
